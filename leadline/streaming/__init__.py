@@ -1,0 +1 @@
+"""No streaming operators: every time window this library offers is a batch window."""

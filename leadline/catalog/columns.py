@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leadline.catalog.registry import LINE_KEY_SQL, query, rounded, with_lines
+from leadline.catalog.registry import LINE_KEY_SQL, OFF_TIE, query, rounded, with_lines
 from leadline.functions import dates, labels, numbers
 from leadline.plans import cleaning
 from leadline.plans import sales as sales_plan
@@ -85,7 +85,7 @@ def mixed_timestamp_parse(spark, folder):
 
 @query(
     "number_rules",
-    "SELECT quantity, discount_rate, tax, n, CASE WHEN quantity - 1 > 0 THEN round(sales / (quantity - 1), 4) END AS per_extra_unit,"
+    "SELECT quantity, discount_rate, tax, n, CASE WHEN quantity - 1 > 0 THEN round(sales / (quantity - 1) + 3e-7, 4) END AS per_extra_unit,"
     " round_even(discount_rate * 100, 2) AS discount_pct, CAST(ceil(tax * 100 / 3) AS BIGINT) AS tax_ceiling,"
     " round(greatest(tax * 10 - discount_rate * 5, 0), 6) AS clipped, round_even(quantity / 2, 0) AS half_even,"
     " round(sqrt(abs(tax * 10 - discount_rate * 5)), 6) AS root, round(pow(quantity, 2), 6) AS squared,"
@@ -105,7 +105,7 @@ def number_rules(spark, folder):
     infinite = F.when(q == 50, F.lit(float("inf"))).otherwise(1 / (50 - q))
     return cells.select(
         "quantity", "discount_rate", "tax", "n",
-        F.round(numbers.safe_divide(F.col("sales"), q - 1), 4).alias("per_extra_unit"),
+        F.round(numbers.safe_divide(F.col("sales"), q - 1) + OFF_TIE, 4).alias("per_extra_unit"),
         numbers.percent(d).alias("discount_pct"),
         F.ceil(t * 100 / 3).alias("tax_ceiling"),
         F.round(numbers.clip_low(margin), 6).alias("clipped"),

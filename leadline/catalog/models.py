@@ -1 +1,216 @@
-"""Queries that fit models."""
+"""Queries that fit models, and the encodings they learn.
+
+The tree models run here with fewer and shallower trees than the specs they start from
+(``small``), so that the whole catalogue runs on one machine; the rows are always all rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from leadline.catalog.demand import ROLES as DEMAND_ROLES
+from leadline.catalog.demand import TEST_START
+from leadline.catalog.history import GRAINS, LAGS, TIE, WINDOWS
+from leadline.catalog.registry import query, with_lines
+from leadline.catalog.validation import _SPLIT
+from leadline.functions import dates
+from leadline.functions.labels import has_discount
+from leadline.operators import metrics, models
+from leadline.operators.features import INFREQUENT, Encoding, fit_encoding
+from leadline.operators.grain_history import add_daily_history, feature_names
+from leadline.operators.split import date_split, share_split
+from leadline.plans import arrival, demand, walk_forward
+from leadline.session import stage
+from leadline.sources.tables import LINE_KEY, order_lines
+
+CATEGORICAL = ["shipping_mode", "country", "city", "market", "segment", "category", "department", "product", "payment_type"]
+ARRIVAL_NUMBERS = ["quantity", "order_month", "order_dayofweek", "order_hour"]
+SALES_TEXT = ["country", "city", "market", "segment", "category", "department", "product", "calendar_period"]
+SALES_NUMBERS = [
+    "price", "quantity", "discount_rate", "order_year", "order_month", "order_day", "order_dayofweek", "order_dayofyear",
+    "order_weekofyear", "order_quarter", "order_is_weekend", "order_month_sin", "order_month_cos", "order_dayofweek_sin",
+    "order_dayofweek_cos", "is_generic_fixed_holiday", "has_discount",
+]
+ORDER = ["order_ts", *LINE_KEY]
+
+
+def small(spec: models.ModelSpec) -> models.ModelSpec:
+    p = spec.params
+    limits = {"trees": 16, "max_depth": 6, "iterations": 10}
+    return models.with_params(spec, **{k: min(p[k], v) for k, v in limits.items() if k in p})
+
+
+def _arrival_lines(spark, folder, history=False):
+    roles = [*CATEGORICAL, "order_ts", "shipping_ts", "actual_days", "promised_days", *LINE_KEY]
+    lines = arrival.arrival_rows(order_lines(spark, folder, roles))
+    return arrival.with_mode_history(stage(lines), TIE) if history else lines
+
+
+def _arrival_scores(spark, folder, specs, history=False):
+    pred, _ = arrival.arrival_models(_arrival_lines(spark, folder, history), ORDER, specs, ["order_id"])
+    return arrival.arrival_scores(stage(pred))
+
+
+@query("arrival_linear_scores")
+def arrival_linear_scores(spark, folder):
+    specs = models.arrival_specs(CATEGORICAL, ARRIVAL_NUMBERS)
+    return _arrival_scores(spark, folder, [s for s in specs if s.encoding.kind == "onehot"])
+
+
+@query("arrival_tree_scores")
+def arrival_tree_scores(spark, folder):
+    specs = models.arrival_specs(CATEGORICAL, ARRIVAL_NUMBERS)
+    return _arrival_scores(spark, folder, [small(s) for s in specs if s.encoding.kind == "ordinal"])
+
+
+@query("arrival_forest_grid")
+def arrival_forest_grid(spark, folder):
+    specs = [small(s) for s in models.forest_grid(CATEGORICAL, ARRIVAL_NUMBERS)]
+    return _arrival_scores(spark, folder, specs).orderBy("split", "mae")
+
+
+def _history_forest():
+    return small(models.forest_grid(CATEGORICAL, ARRIVAL_NUMBERS + arrival.HISTORY)[0])
+
+
+@query("arrival_history_forest_scores")
+def arrival_history_forest_scores(spark, folder):
+    return _arrival_scores(spark, folder, [_history_forest()], history=True)
+
+
+@query("arrival_history_importance")
+def arrival_history_importance(spark, folder):
+    spec = _history_forest()
+    _, fitted = arrival.arrival_models(_arrival_lines(spark, folder, True), ORDER, [spec], ["order_id"])
+    return models.only_features(models.tree_importance(fitted[spec.name]), arrival.HISTORY)
+
+
+@query("arrival_predictions_wide")
+def arrival_predictions_wide(spark, folder):
+    """One row per test line, one column per model."""
+    specs = [s for s in models.arrival_specs(CATEGORICAL, ARRIVAL_NUMBERS) if s.family in ("linear", "ridge")]
+    pred, _ = arrival.arrival_models(_arrival_lines(spark, folder), ORDER, specs, [*LINE_KEY, "shipping_mode"])
+    cells = [F.max(F.when(F.col("model") == s.name, F.col("predicted"))).alias(s.name) for s in specs]
+    test = pred.filter(F.col("split") == "test")
+    return test.groupBy(*LINE_KEY, "shipping_mode", "actual").agg(*cells)
+
+
+def _sales_lines(spark, folder):
+    roles = ["country", "city", "market", "segment", "category", "department", "product", "customer_id", "price", "discount", *ORDER]
+    lines = order_lines(spark, folder, roles)
+    return lines.withColumns(
+        {
+            "order_date": F.to_date("order_ts"),
+            "month": dates.month_label("order_ts"),
+            **dates.calendar_columns("order_ts"),
+            "calendar_period": dates.calendar_period("order_ts"),
+            "is_generic_fixed_holiday": dates.is_fixed_holiday("order_ts").cast("int"),
+            "has_discount": has_discount(F.col("discount")).cast("int"),
+        }
+    )
+
+
+@query("sales_model_scores")
+def sales_model_scores(spark, folder):
+    rows = stage(share_split(_sales_lines(spark, folder), ORDER))
+    pred, _ = models.fit_and_score(rows, "sales", [small(s) for s in models.sales_specs(SALES_TEXT, SALES_NUMBERS)], ["order_id"])
+    return metrics.evaluate(stage(pred), ["model", "split"])
+
+
+@query("sales_model_coefficients")
+def sales_model_coefficients(spark, folder):
+    rows = stage(share_split(_sales_lines(spark, folder), ORDER))
+    spec = models.sales_specs(SALES_TEXT, SALES_NUMBERS)[0]
+    _, fitted = models.fit_and_score(rows, "sales", [spec], ["order_id"])
+    return models.coefficient_table(fitted[spec.name])
+
+
+@query("sales_history_model_scores")
+def sales_history_model_scores(spark, folder):
+    grains = list(GRAINS.values())
+    lines = add_daily_history(stage(_sales_lines(spark, folder)), grains, "order_date", "sales", LAGS, WINDOWS)
+    rows = stage(share_split(stage(lines), ORDER))
+    numbers = SALES_NUMBERS + feature_names(grains, LAGS, WINDOWS)
+    specs = [small(s) for s in models.sales_specs(SALES_TEXT, numbers, " with lags") if s.family in ("linear", "tree")]
+    pred, _ = models.fit_and_score(rows, "sales", specs, ["order_id"])
+    return metrics.evaluate(stage(pred), ["model", "split"])
+
+
+DEMAND_TEXT = ["product", "category_name", "department_name", "calendar_period"]
+DEMAND_NUMBERS = [
+    "order_year", "order_month", "order_day", "order_dayofweek", "order_dayofyear", "order_weekofyear", "order_quarter",
+    "order_is_weekend", "order_month_sin", "order_month_cos", "order_dayofweek_sin", "order_dayofweek_cos",
+    "is_generic_fixed_holiday", "days_since_product_first_seen",
+]
+
+
+@query("demand_model_gap")
+def demand_model_gap(spark, folder):
+    """Best simple rule against the best model on the test days."""
+    panel, history = demand.demand_panel(stage(order_lines(spark, folder, DEMAND_ROLES)))
+    panel = stage(panel)
+    rows = date_split(panel, "order_date", F.lit(TEST_START).cast("date"))
+    specs = [small(s) for s in models.demand_specs(DEMAND_TEXT, DEMAND_NUMBERS + history) if s.family in ("linear", "tree")]
+    pred, _ = models.fit_and_score(rows, "quantity_sold", specs, ["product", "order_date"])
+    rules = demand.long_rule_predictions(demand.rule_predictions(panel, TEST_START))
+    both = pred.filter(F.col("split") == "test").drop("split").unionByName(rules)
+    return metrics.best_gap(metrics.evaluate(stage(both), ["model"], median=False))
+
+
+def _monthly_spec():
+    encoding = models.onehot(["market", "segment", "category", "product", "calendar_period"], SALES_NUMBERS, scale="center", unknown_to_pool=True)
+    return models.ModelSpec("Linear Regression walk-forward", "linear", encoding)
+
+
+@query("walk_forward_model_scores")
+def walk_forward_model_scores(spark, folder):
+    rows = stage(_sales_lines(spark, folder), "month")
+    pred = walk_forward.walk_forward_models(rows, "month", "sales", _monthly_spec(), ["order_id"], parallelism=8)
+    return metrics.evaluate(pred, ["model", "fold", "month"], median=False)
+
+
+@query("frozen_model_scores")
+def frozen_model_scores(spark, folder):
+    rows = stage(_sales_lines(spark, folder), "month")
+    pred = walk_forward.frozen_model(rows, "month", "sales", _monthly_spec(), ["order_id"])
+    return walk_forward.month_scores(stage(pred), "month")
+
+
+# --- what the encodings learn ----------------------------------------------------------
+
+_TRAIN_CITY = _SPLIT + ", tc AS (SELECT {c} AS v, count(*) AS k FROM sp WHERE split = 'train' GROUP BY 1)"
+
+
+@query(
+    "encode_ordinal",
+    with_lines(
+        _TRAIN_CITY.format(c="part_id % 700")
+        + ", code AS (SELECT v, row_number() OVER (ORDER BY CAST(v AS VARCHAR)) - 1 AS c FROM tc)"
+        " SELECT CAST(part_id % 700 AS VARCHAR) AS category, coalesce(CAST(c AS DOUBLE), -1.0) AS code, count(*) AS n"
+        " FROM sp LEFT JOIN code ON code.v = part_id % 700 GROUP BY 1, 2"
+    ),
+)
+def encode_ordinal(spark, folder):
+    """Alphabetical codes learnt on the train rows; categories they lack become -1."""
+    lines = order_lines(spark, folder, ORDER).withColumn("category", (F.col("part_id") % 700).cast("string"))
+    rows = stage(share_split(lines, ORDER))
+    fitted = fit_encoding(rows.filter(F.col("split") == "train"), Encoding(("category",), ("quantity",), "ordinal"))
+    coded = fitted.codes(rows)
+    return coded.groupBy("category", F.col("_o_category").alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "encode_pooled",
+    with_lines(
+        _TRAIN_CITY.format(c="part_id")
+        + f" SELECT CASE WHEN k < 20 THEN '{INFREQUENT}' ELSE CAST(part_id AS VARCHAR) END AS label, split, count(*) AS n"
+        " FROM sp LEFT JOIN tc ON tc.v = part_id GROUP BY 1, 2"
+    ),
+)
+def encode_pooled(spark, folder):
+    """Parts with under 20 train rows share one label."""
+    lines = order_lines(spark, folder, ORDER).withColumn("label", F.col("part_id").cast("string"))
+    rows = stage(share_split(lines, ORDER))
+    fitted = fit_encoding(rows.filter(F.col("split") == "train"), Encoding(("label",), ("quantity",), "onehot"))
+    pooled = fitted.prepare(rows)
+    return pooled.groupBy(F.col("_c_label").alias("label"), "split").agg(F.count(F.lit(1)).alias("n"))

@@ -41,8 +41,12 @@ class FittedEncoding:
     stages: PipelineModel
     slots: list[str] = field(default_factory=list)
 
+    def prepare(self, df: DataFrame) -> DataFrame:
+        """Filled and pooled text columns ``_c_<name>``, numbers ``_n_<name>``."""
+        return _prepare(df, self.spec, self.fill, self.rare)
+
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.stages.transform(_prepare(df, self.spec, self.fill, self.rare))
+        return self.stages.transform(self.prepare(df))
 
 
 def _prepare(df: DataFrame, spec: Encoding, fill: dict[str, str], rare: dict[str, list[str]]) -> DataFrame:
@@ -95,16 +99,19 @@ class _FittedOrdinal(FittedEncoding):
     code: _OrdinalCode | None = None
     tail: PipelineModel | None = None
 
+    def codes(self, df: DataFrame) -> DataFrame:
+        """Ordinal codes ``_o_<name>``, before assembly."""
+        return self.code.apply(self.stages.transform(self.prepare(df)))
+
     def transform(self, df: DataFrame) -> DataFrame:
-        indexed = self.stages.transform(_prepare(df, self.spec, self.fill, self.rare))
-        return self.tail.transform(self.code.apply(indexed))
+        return self.tail.transform(self.codes(df))
 
 
-def _index_model(labels: dict[str, list[str]], columns: Sequence[str]) -> StringIndexerModel:
-    return StringIndexerModel.from_arrays_of_labels(
-        [labels[c] for c in columns], inputCols=[f"_c_{c}" for c in columns], outputCols=[f"_i_{c}" for c in columns],
-        handleInvalid="keep",
-    )
+def _index_models(labels: dict[str, list[str]], columns: Sequence[str]) -> list[StringIndexerModel]:
+    # One model per column: the many-column constructor pads shorter vocabularies with nulls.
+    return [
+        StringIndexerModel.from_labels(labels[c], inputCol=f"_c_{c}", outputCol=f"_i_{c}", handleInvalid="keep") for c in columns
+    ]
 
 
 def fit_encoding(train: DataFrame, spec: Encoding) -> FittedEncoding:
@@ -141,7 +148,7 @@ def fit_encoding(train: DataFrame, spec: Encoding) -> FittedEncoding:
         return stages
 
     if spec.kind == "ordinal":
-        head = Pipeline(stages=([_index_model(labels, categorical)] if categorical else []) + imputers).fit(prepared)
+        head = Pipeline(stages=_index_models(labels, categorical) + imputers).fit(prepared)
         code = _OrdinalCode(categorical, {c: len(labels[c]) for c in categorical})
         tail = Pipeline(stages=vector_stages([f"_o_{c}" for c in categorical] + numeric_out)).fit(
             code.apply(head.transform(prepared))
@@ -153,7 +160,7 @@ def fit_encoding(train: DataFrame, spec: Encoding) -> FittedEncoding:
         inputCols=[f"_i_{c}" for c in categorical], outputCols=[f"_h_{c}" for c in categorical],
         dropLast=not spec.unknown_to_pool, handleInvalid="error",
     )
-    stages = ([_index_model(labels, categorical), encoder] if categorical else []) + imputers
+    stages = [*_index_models(labels, categorical), *([encoder] if categorical else []), *imputers]
     stages += _onehot_vector(categorical, numeric, numeric_out, spec.scale)
     fitted = Pipeline(stages=stages).fit(prepared)
     slots = [f"{c}={v}" for c in categorical for v in labels[c] + ([INFREQUENT] if spec.unknown_to_pool else [])] + numeric

@@ -41,14 +41,18 @@ def staging_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where one plan reads the same join result several times. Unlike a cache the
     table survives lost executors, and unlike a checkpoint it stays columnar, so every
-    reader still prunes columns and pushes filters.
+    reader still prunes columns and pushes filters. With ``partition_by`` (a column of few
+    values) a filter on that column skips whole folders.
     """
     spark = df.sparkSession
     path = f"{staging_dir(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
+    writer = df.write.mode("error")
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

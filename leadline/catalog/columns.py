@@ -8,6 +8,7 @@ from leadline.catalog.registry import LINE_KEY_SQL, OFF_TIE, query, rounded, wit
 from leadline.functions import dates, labels, numbers
 from leadline.plans import cleaning
 from leadline.plans import sales as sales_plan
+from leadline.session import stage
 from leadline.sources.tables import LINE_KEY, order_lines, read_table, web_events
 
 _PERIOD_SQL = (
@@ -185,7 +186,7 @@ def price_bands(spark, folder):
 )
 def customer_value_bands(spark, folder):
     lines = order_lines(spark, folder, ["customer_id", *LINE_KEY])
-    banded = sales_plan.add_customer_band(sales_plan.add_customer_total(lines), LINE_KEY)
+    banded = sales_plan.add_customer_band(stage(sales_plan.add_customer_total(lines)), LINE_KEY)
     return _band_report(banded, "customer_value_band", "customer_total_sales")
 
 

@@ -9,6 +9,7 @@ from leadline.functions import dates
 from leadline.operators import aggregate as agg
 from leadline.operators.order_stats import exact_quantiles
 from leadline.plans import sales
+from leadline.session import stage
 from leadline.sources.tables import LINE_KEY, order_lines, read_table, web_events
 
 MEASURES = ["order_id", "sales", "quantity", "discount_rate"]
@@ -110,7 +111,7 @@ def sales_by_price_band(spark, folder):
 )
 def sales_by_customer_band(spark, folder):
     lines = order_lines(spark, folder, [*MEASURES, "customer_id", *LINE_KEY])
-    banded = sales.add_customer_band(sales.add_customer_total(lines), LINE_KEY)
+    banded = sales.add_customer_band(stage(sales.add_customer_total(lines)), LINE_KEY)
     return rounded(sales.sales_by(banded, "customer_value_band"), off_tie=["avg_sale"], **DIGITS)
 
 

@@ -135,7 +135,7 @@ def fit_encoding(train: DataFrame, spec: Encoding) -> FittedEncoding:
             labels[c] = known
         labels[c] = labels[c] or [INFREQUENT]
 
-    imputers = [Imputer(strategy="median", relativeError=1e-4, inputCols=[f"_n_{c}" for c in numeric],
+    imputers = [Imputer(strategy="median", relativeError=1e-3, inputCols=[f"_n_{c}" for c in numeric],
                         outputCols=[f"_m_{c}" for c in numeric])] if numeric else []
     numeric_out = [f"_m_{c}" for c in numeric]
     prepared = _prepare(train, spec, fill, rare)

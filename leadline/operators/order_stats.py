@@ -15,6 +15,7 @@ from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,6 +109,61 @@ def rank_cut(
     return RankCut(tuple(order), tuple(fixed))
 
 
+def rank_cuts(
+    df: DataFrame,
+    order: Sequence[str],
+    ranks: Sequence[int],
+    buckets: int = HISTOGRAM_BUCKETS,
+    slice_rows: int = SLICE_ROWS,
+) -> list[RankCut]:
+    """Several cuts at once: one shared histogram, then one ordering of the few small slices.
+
+    A cut whose slice stays large goes on alone with ``rank_cut`` inside that slice.
+    """
+    order = list(order)
+    name, keys = order[0], df.select(*order)
+    kind = keys.schema[name].dataType
+    low, high = keys.agg(F.min(name), F.max(name)).first()
+    edges = [_position(F.lit(v), kind) for v in (low, high)]
+    cells = (
+        keys.groupBy(_bucket(_position(F.col(name), kind), edges[0], edges[1], buckets).alias("b"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(name).alias("low"), F.max(name).alias("high"))
+        .collect()
+    )
+    cells.sort(key=lambda r: r["b"])
+    cuts: dict[int, RankCut] = {}
+    slices: dict[int, tuple] = {}
+    for rank in ranks:
+        left = rank
+        for cell in cells:
+            if left <= cell["n"]:
+                break
+            left -= cell["n"]
+        if cell["low"] == cell["high"] and left == cell["n"]:
+            cuts[rank] = RankCut((name,), (cell["low"],))
+        elif cell["n"] <= slice_rows:
+            slices[rank] = (cell["b"], left, cell["low"], cell["high"])
+        else:
+            inside = keys.filter(F.col(name).between(F.lit(cell["low"]), F.lit(cell["high"])))
+            cuts[rank] = rank_cut(inside, order, left, buckets, slice_rows)
+    if slices:
+        which = None
+        for b, _, lo, hi in {s[0]: s for s in slices.values()}.values():
+            hit = F.col(name).between(F.lit(lo), F.lit(hi))
+            which = F.when(hit, b) if which is None else which.when(hit, b)
+        position = F.row_number().over(W.partitionBy("_slice").orderBy(*order))
+        numbered = keys.withColumn("_slice", which).filter(F.col("_slice").isNotNull()).withColumn("_position", position)
+        found = {
+            (r["_slice"], r["_position"]): tuple(r[c] for c in order)
+            for r in numbered.filter(
+                F.struct("_slice", "_position").isin([F.struct(F.lit(b), F.lit(at)) for b, at, _, _ in slices.values()])
+            ).collect()
+        }
+        for rank, (b, at, _, _) in slices.items():
+            cuts[rank] = RankCut(tuple(order), found[(b, at)])
+    return [cuts[rank] for rank in ranks]
+
+
 def rank_bands(
     df: DataFrame,
     order: Sequence[str],
@@ -119,16 +175,17 @@ def rank_bands(
     """Add the quantile band of each row by first-come rank; null first key gives null.
 
     With ranks 1..n, band i of q ends at rank ``floor(1 + i * (n - 1) / q)``. The bands are
-    comparisons with q - 1 cut rows, so adding them moves no data.
+    comparisons with q - 1 cut rows, so adding them moves no data. The search reads ``df``
+    four times; stage it first if it is costly.
     """
     present = df.filter(F.col(order[0]).isNotNull())
     n, q = present.count(), len(labels)
     if n == 0:
         return df.withColumn(name, F.lit(None).cast("string"))
+    ends = [1 + i * (n - 1) // q for i in range(1, q)]
     band = F.when(F.col(order[0]).isNull(), F.lit(None).cast("string"))
-    for i, label in enumerate(labels[:-1], start=1):
-        end = 1 + i * (n - 1) // q
-        band = band.when(rank_cut(present, order, end, buckets, slice_rows).at_or_before(), label)
+    for label, cut in zip(labels, rank_cuts(present, order, ends, buckets, slice_rows)):
+        band = band.when(cut.at_or_before(), label)
     return df.withColumn(name, band.otherwise(labels[-1]))
 
 

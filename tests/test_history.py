@@ -62,7 +62,7 @@ def features(spark, rows, **sizes):
     return {r["order_id"]: {c: r[c] for c in history_columns("mode")} for r in df.collect()}
 
 
-@pytest.mark.parametrize("sizes", [{}, {"chunk_days": 3, "block_rows": 100}])
+@pytest.mark.parametrize("sizes", [{}, {"chunk_days": 3}])
 def test_mode_history_follows_its_definition(spark, sizes):
     rows = make_lines()
     got, expected = features(spark, rows, **sizes), by_definition(rows)

@@ -16,6 +16,7 @@ from leadline.catalog.validation import _SPLIT
 from leadline.functions import dates
 from leadline.functions.labels import has_discount
 from leadline.operators import metrics, models
+from leadline.operators.expanding_ols import expanding_least_squares
 from leadline.operators.features import INFREQUENT, Encoding, fit_encoding
 from leadline.operators.grain_history import add_daily_history, feature_names
 from leadline.operators.split import date_split, share_split
@@ -164,9 +165,29 @@ def _monthly_spec():
 
 @query("walk_forward_model_scores")
 def walk_forward_model_scores(spark, folder):
+    """Every month predicted by a regression on all months before it, in two passes over the lines."""
+    rows = stage(_sales_lines(spark, folder))
+    pred = expanding_least_squares(rows, "month", "sales", _monthly_spec().encoding, ["order_id"])
+    return walk_forward.month_scores(stage(pred), "month")
+
+
+@query("walk_forward_model_refit_yearly")
+def walk_forward_model_refit_yearly(spark, folder):
+    """The general form: one pipeline fit per fold, here with twelve test months in each."""
+    rows = stage(_sales_lines(spark, folder), "month")
+    pred = walk_forward.walk_forward_models(rows, "month", "sales", _monthly_spec(), ["order_id"], step=12, parallelism=4)
+    return metrics.evaluate(stage(pred), ["model", "fold"])
+
+
+@query("frozen_model_versus_walk_forward")
+def frozen_model_versus_walk_forward(spark, folder):
+    """The regression trained once against the one retrained every month."""
     rows = stage(_sales_lines(spark, folder), "month")
-    pred = walk_forward.walk_forward_models(rows, "month", "sales", _monthly_spec(), ["order_id"], parallelism=8)
-    return metrics.evaluate(pred, ["model", "fold", "month"], median=False)
+    spec = _monthly_spec()
+    walking = expanding_least_squares(rows, "month", "sales", spec.encoding, ["order_id"], name=spec.name)
+    frozen = walk_forward.frozen_model(rows, "month", "sales", spec, ["order_id"])
+    scores = [metrics.evaluate(stage(p), ["model", "fold", "month"], median=False) for p in (frozen, walking)]
+    return walk_forward.compare_frozen(*scores, "month")
 
 
 @query("frozen_model_scores")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadline.operators import metrics, models
+from leadline.operators.expanding_ols import expanding_least_squares
 from leadline.operators.features import INFREQUENT, Encoding, fit_encoding
 from leadline.operators.profile import refuse_leakage
 from leadline.plans import walk_forward
@@ -98,3 +99,16 @@ def test_model_walk_forward_scores_every_later_month(spark):
     spec = models.ModelSpec("lin", "linear", models.onehot(["p"], ["x"], min_rows=5, unknown_to_pool=True))
     pred = walk_forward.walk_forward_models(df, "month", "y", spec, [], parallelism=2)
     assert pred.count() == 3 * 40 and pred.select("fold").distinct().count() == 3
+
+
+def test_accumulated_least_squares_equals_refitting_each_fold(spark):
+    df = month_rows(spark)
+    encoding = models.onehot(["p"], ["x"], min_rows=5, unknown_to_pool=True)
+    spec = models.ModelSpec("lin", "linear", encoding)
+    refit = walk_forward.walk_forward_models(df, "month", "y", spec, ["x"], parallelism=2).toPandas()
+    once = expanding_least_squares(df, "month", "y", encoding, ["x"]).toPandas()
+    key = ["month", "x", "actual"]
+    both = refit.merge(once, on=key, suffixes=("_a", "_b")).merge(df.toPandas(), left_on=key, right_on=["month", "x", "y"])
+    seen = both[(both.p != "e") | (both.month == "2021-03")]
+    assert len(both) == 120 and len(seen) > 80
+    assert np.allclose(seen.predicted_a, seen.predicted_b, atol=1e-6)

@@ -51,8 +51,9 @@ def stage(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{staging_dir(spark)}/staged-{uuid.uuid4().hex}"
-    writer = df.write.mode("error")
     if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+        # Rebalancing keeps the number of files low and cuts an oversized folder into several.
+        df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(path)
+    else:
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

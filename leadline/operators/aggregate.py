@@ -20,13 +20,15 @@ def summarise(df: DataFrame, keys: Sequence[str], measures: dict[str, Column], h
     return out.filter(having) if having is not None else out
 
 
-def mode_by(df: DataFrame, keys: Sequence[str], value: str, name: str, unknown: str | None = None) -> DataFrame:
-    """Most frequent non-null value per key, the smallest on ties.
+def mode_by(df: DataFrame, keys: Sequence[str], value: str, name: str, unknown: str | None = None,
+            weight: str | None = None) -> DataFrame:
+    """Most frequent non-null value per key, the smallest on ties; ``weight`` holds the rows a row stands for.
 
     Values are counted first, so a huge group reaches the last step as one row per value.
     Groups without any value get ``unknown`` (text) or null.
     """
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    rows = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = df.groupBy(*keys, value).agg(rows.alias("_n"))
     # A null value loses to every real one, whatever its count.
     rank = F.struct(F.col(value).isNull(), -F.col("_n"), F.col(value))
     best = F.min_by(F.col(value), rank)

@@ -11,6 +11,7 @@ from leadline.functions import dates, labels
 from leadline.operators.aggregate import mode_by
 from leadline.operators.joins import lookup_mean
 from leadline.operators.panel import densify, lag_columns, rolling_columns
+from leadline.session import stage
 
 # Horizons of the panel's history.
 LAGS = [1, 7, 30, 365]
@@ -48,38 +49,46 @@ class DemandColumns:
     discount_rate: str = "discount_rate"
 
 
-def daily_facts(lines: DataFrame, c: DemandColumns = DemandColumns()) -> DataFrame:
-    """Product-by-day facts of the days with sales."""
+def daily_cells(lines: DataFrame, c: DemandColumns = DemandColumns()) -> DataFrame:
+    """Sums and counts per (product, day, category, department): all the panel needs from the lines, in one scan."""
     rows = lines.na.drop(subset=[c.ts, c.product]).withColumn("order_date", F.to_date(c.ts))
-    return rows.groupBy(c.product, "order_date").agg(
+    means = {"avg_price": c.price, "avg_discount": c.discount, "avg_discount_rate": c.discount_rate}
+    return rows.groupBy(c.product, "order_date", c.category, c.department).agg(
         F.sum(c.quantity).alias("quantity_sold"),
         F.sum(c.sales).alias("sales_sum"),
         F.count(F.lit(1)).alias("order_lines"),
-        F.avg(c.price).alias("avg_price"),
-        F.avg(c.discount).alias("avg_discount"),
-        F.avg(c.discount_rate).alias("avg_discount_rate"),
+        *[F.sum(source).alias(f"{name}_sum") for name, source in means.items()],
+        *[F.count(source).alias(f"{name}_n") for name, source in means.items()],
+    )
+
+
+def daily_facts(cells: DataFrame, c: DemandColumns = DemandColumns()) -> DataFrame:
+    """Product-by-day facts of the days with sales."""
+    return cells.groupBy(c.product, "order_date").agg(
+        *[F.sum(name).alias(name) for name in SUMS],
+        *[F.try_divide(F.sum(f"{name}_sum"), F.sum(f"{name}_n")).alias(name) for name in MEANS],
     )
 
 
-def product_meta(lines: DataFrame, c: DemandColumns = DemandColumns()) -> DataFrame:
+def product_meta(cells: DataFrame, c: DemandColumns = DemandColumns()) -> DataFrame:
     """Usual category and department of each product, and the first day it sold."""
-    rows = lines.na.drop(subset=[c.ts, c.product])
-    first = rows.groupBy(c.product).agg(F.to_date(F.min(c.ts)).alias("product_first_seen"))
+    first = cells.groupBy(c.product).agg(F.min("order_date").alias("product_first_seen"))
     return (
-        first.join(mode_by(rows, [c.product], c.category, "category_name", "Unknown"), c.product)
-        .join(mode_by(rows, [c.product], c.department, "department_name", "Unknown"), c.product)
+        first.join(mode_by(cells, [c.product], c.category, "category_name", "Unknown", "order_lines"), c.product)
+        .join(mode_by(cells, [c.product], c.department, "department_name", "Unknown", "order_lines"), c.product)
     )
 
 
 def demand_panel(lines: DataFrame, c: DemandColumns = DemandColumns()) -> tuple[DataFrame, list[str]]:
     """Product x day panel with product, category and overall history; returns it with the feature names.
 
-    Product windows run on the densified facts without another shuffle. Category and overall
-    totals are added up from the sparse facts, densified on their own small keys, and
-    joined to the panel.
+    The lines are scanned once, into staged cells. Product windows run on the densified facts
+    without another shuffle. Category and overall totals are added up from the sparse
+    facts, densified on their own small keys, and joined to the panel.
     """
-    facts = daily_facts(lines, c)
-    meta = product_meta(lines, c)
+    cells = stage(daily_cells(lines, c))
+    facts = daily_facts(cells, c)
+    meta = product_meta(cells, c)
     day = "order_date"
     first, last = facts.agg(F.min(day)).scalar(), facts.agg(F.max(day)).scalar()
     product = [c.product]

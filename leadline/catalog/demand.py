@@ -160,8 +160,11 @@ _RULES = _PANEL + (
 )
 
 
-def _predictions(spark, folder):
-    return demand.rule_predictions(panel_of(spark, folder), TEST_START)
+def predictions(spark, folder):
+    """Rule predictions; train means and test rows read the same staged slice of the panel."""
+    history = [f"product_quantity_sold_{h}" for h in ("lag_1d", "roll_mean_7d", "roll_mean_30d")]
+    panel = stage(panel_of(spark, folder).select("product", "order_date", "quantity_sold", *history))
+    return demand.rule_predictions(panel, TEST_START)
 
 
 @query(
@@ -172,12 +175,12 @@ def _predictions(spark, folder):
     ),
 )
 def demand_rule_predictions(spark, folder):
-    return rounded(_predictions(spark, folder))
+    return rounded(predictions(spark, folder))
 
 
 @query("demand_rule_scores", with_lines(_RULES + " " + metric_sql("long", "model")))
 def demand_rule_scores(spark, folder):
-    long = demand.long_rule_predictions(stage(_predictions(spark, folder)))
+    long = demand.long_rule_predictions(stage(predictions(spark, folder)))
     return scores(evaluate(long, ["model"]))
 
 
@@ -192,7 +195,7 @@ _CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in demand.RULE_LABELS.items(
     ),
 )
 def demand_ranked_systems(spark, folder):
-    long = demand.long_rule_predictions(stage(_predictions(spark, folder)))
+    long = demand.long_rule_predictions(stage(predictions(spark, folder)))
     ranked = demand.rank_systems(evaluate(long, ["model"], median=False))
     return rounded(ranked.select("model", "system", "mae", "rmse", "r2", "wape"))
 
@@ -209,7 +212,7 @@ def demand_ranked_systems(spark, folder):
 )
 def demand_rule_gap(spark, folder):
     """How far the other rules are behind the best rolling rule."""
-    long = demand.long_rule_predictions(stage(_predictions(spark, folder)))
+    long = demand.long_rule_predictions(stage(predictions(spark, folder)))
     return rounded(best_gap(evaluate(long, ["model"], median=False), prefix="Baseline rolling"))
 
 

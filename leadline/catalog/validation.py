@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leadline.catalog.demand import TEST_START, metric_sql, panel_of, scores
+from leadline.catalog.demand import metric_sql, predictions, scores
 from leadline.catalog.history import _HISTORY, TIE, history_lines
 from leadline.catalog.registry import LINE_KEY_SQL, query, rounded, with_lines
 from leadline.functions.dates import month_label
@@ -12,7 +12,7 @@ from leadline.operators import aggregate as agg
 from leadline.operators import metrics
 from leadline.operators.joins import lookup_mean
 from leadline.operators.split import date_split, share_split
-from leadline.plans import arrival, demand, walk_forward
+from leadline.plans import arrival, walk_forward
 from leadline.session import stage
 from leadline.sources.tables import LINE_KEY, order_lines, read_table
 
@@ -282,5 +282,5 @@ def arrival_improvement(spark, folder):
 
 @query("demand_residual_histogram")
 def demand_residual_histogram(spark, folder):
-    pred = demand.rule_predictions(panel_of(spark, folder), TEST_START)
+    pred = predictions(spark, folder)
     return rounded(agg.histogram(pred.select((F.col("actual") - F.col("rolling_7d")).alias("residual")), "residual", 45))

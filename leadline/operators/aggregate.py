@@ -95,14 +95,13 @@ def correlations(df: DataFrame, columns: Sequence[str], target: str, k: int = 15
 def histogram(df: DataFrame, value: str, bins: int, clip_at: float | None = None) -> DataFrame:
     """Equal-width histogram of the non-null values, optionally of those up to a quantile.
 
-    The range comes from a one-row scalar subquery; the top edge belongs to the last bin.
+    The range is read first (two numbers); the top edge belongs to the last bin.
     """
     data = df.select(F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     if clip_at is not None:
-        upper = exact_quantiles(data, [], "_v", {"upper": clip_at})
-        data = data.filter(F.col("_v") <= upper.scalar())
-    edges = data.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-    lo, hi = edges.select("lo").scalar(), edges.select("hi").scalar()
+        upper = exact_quantiles(data, [], "_v", {"upper": clip_at}).first()["upper"]
+        data = data.filter(F.col("_v") <= F.lit(upper))
+    lo, hi = (F.lit(edge).cast("double") for edge in data.agg(F.min("_v"), F.max("_v")).first())
     width = (hi - lo) / F.lit(float(bins))
     cell = F.when(hi > lo, F.least(F.floor((F.col("_v") - lo) / width), F.lit(bins - 1))).otherwise(0)
     return (

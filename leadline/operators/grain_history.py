@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,7 +36,7 @@ def feature_names(grains: Sequence[Grain], lags: Sequence[int], windows: Sequenc
 
 
 def daily_history(lines: DataFrame, grain: Grain, day: str, value: str, lags: Sequence[int], windows: Sequence[int],
-                  measure: str = "sales") -> DataFrame:
+                  measure: str = "sales", first_day: Column | None = None) -> DataFrame:
     """One row per (key, day with sales) with the grain's features.
 
     A missing day makes a lag null; in the rolling windows it counts as 0. The first day of
@@ -49,7 +49,8 @@ def daily_history(lines: DataFrame, grain: Grain, day: str, value: str, lags: Se
         F.max("_s").over(per_key.rangeBetween(-n, -n)).alias(f"{grain.prefix}_{measure}_lag_{n}d") for n in lags
     ]
     if grain.rolling:
-        past_days = F.col("_d") - F.unix_date(lines.agg(F.min(day)).scalar())
+        first_day = first_day if first_day is not None else lines.agg(F.min(day)).scalar()
+        past_days = F.col("_d") - F.unix_date(first_day)
         for w in windows:
             total = F.coalesce(F.sum("_s").over(per_key.rangeBetween(-w, -1)), F.lit(0.0))
             total = F.when(past_days > 0, total)
@@ -62,7 +63,8 @@ def add_daily_history(lines: DataFrame, grains: Sequence[Grain], day: str, value
                       windows: Sequence[int] = (7, 30), measure: str = "sales") -> DataFrame:
     """Lines with the features of all grains. Null keys form a group of their own."""
     out = lines
+    first_day = F.lit(lines.agg(F.min(day)).first()[0]).cast("date")
     for grain in grains:
-        features = daily_history(lines, grain, day, value, lags, windows, measure)
+        features = daily_history(lines, grain, day, value, lags, windows, measure, first_day)
         out = left_join_null_safe(out, features, [*grain.keys, day])
     return out

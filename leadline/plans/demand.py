@@ -90,7 +90,7 @@ def demand_panel(lines: DataFrame, c: DemandColumns = DemandColumns()) -> tuple[
     facts = daily_facts(cells, c)
     meta = product_meta(cells, c)
     day = "order_date"
-    first, last = facts.agg(F.min(day)).scalar(), facts.agg(F.max(day)).scalar()
+    first, last = (F.lit(d).cast("date") for d in cells.agg(F.min(day), F.max(day)).first())
     product = [c.product]
 
     own: dict[str, Column] = {}

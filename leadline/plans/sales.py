@@ -12,6 +12,7 @@ from leadline.functions import dates, labels, numbers
 from leadline.operators.aggregate import in_value_order, with_share
 from leadline.operators.joins import full_outer_filled, left_join_null_safe
 from leadline.operators.order_stats import rank_bands
+from leadline.session import stage
 from leadline.sources.sinks import stack
 
 
@@ -110,7 +111,8 @@ def sales_by(df: DataFrame, column: str, top_n: int | None = None, value_order:
         F.try_divide(F.sum("_q"), F.sum("_nq")).alias("avg_quantity"),
         F.try_divide(F.sum("_d"), F.sum("_nd")).alias("avg_discount_rate"),
     )
-    out = with_share(grouped, "sales", "sales_share")
+    # The total is read from the staged groups, not by a second scan of the lines.
+    out = with_share(stage(grouped), "sales", "sales_share")
     if value_order is not None:
         out = in_value_order(out, column, value_order)
     elif top_n is not None:
@@ -131,5 +133,5 @@ def sales_versus_views(lines: DataFrame, events: DataFrame, key: str, sales: str
     sold = lines.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sum(sales).alias("sales"))
     seen = events.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("views"))
     both = full_outer_filled(sold, seen, key, ["sales", "views"]).filter((F.col("sales") > 0) | (F.col("views") > 0))
-    both = with_share(with_share(both, "sales", "sales_share"), "views", "views_share")
+    both = with_share(with_share(stage(both), "sales", "sales_share"), "views", "views_share")
     return both.withColumn("share_gap_sales_minus_views", F.col("sales_share") - F.col("views_share"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from leadline.catalog.registry import query, rounded, with_lines
 from leadline.operators.metrics import best_gap, evaluate
 from leadline.plans import demand

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leadline.functions import dates, labels, numbers
 from leadline.operators.aggregate import in_value_order, with_share
-from leadline.operators.joins import full_outer_filled, left_join_null_safe
+from leadline.operators.joins import full_outer_filled
 from leadline.operators.order_stats import rank_bands
 from leadline.session import stage
 from leadline.sources.sinks import stack

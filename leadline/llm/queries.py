@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadline.llm import line_dedup, quality_rules
+from leadline.llm import decontamination, line_dedup, packing, quality_rules
 from leadline.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +25,46 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query(
+    "op1_decontamination",
+    r"""
+    WITH dw AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    iw AS (
+      SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    windows AS (
+      SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS s
+      FROM iw, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS t(i) WHERE len(w) > 0),
+    sizes AS (SELECT DISTINCT n FROM windows),
+    grams AS (
+      SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS s
+      FROM dw, sizes, unnest(range(1, greatest(len(w) - n, -1) + 2)) AS t(i)),
+    met AS (SELECT doc_id, i, g.n, item_id FROM grams g JOIN windows v ON g.n = v.n AND g.s = v.s),
+    hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM met) GROUP BY 1),
+    ids AS (
+      SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM met) GROUP BY 1)
+    SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+      sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id)
+    """,
+)
+def decontamination_query(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    found = decontamination.scan(docs, read_table(spark, folder, "benchmark"), keep=["doc_id"])
+    n_hit = decontamination.hit_words()
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 @query(
     "op6_line_dedup",
     r"""
@@ -55,3 +96,12 @@ def line_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_quality_rules")
 def quality_rules_query(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, folder, "documents"))
+
+
+@query("op9_packing")
+def packing_query(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    packed = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group"
+    )

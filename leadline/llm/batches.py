@@ -48,7 +48,7 @@ def map_texts(
     text = free_name(df, "text_in")
     source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).cast("binary" if as_bytes else "string").alias(text))
     schema = T.StructType([f for f in source.schema.fields if f.name != text] + fields)
-    arrow = to_arrow_schema(schema, timezone="UTC")
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

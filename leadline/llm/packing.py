@@ -118,7 +118,7 @@ def pack(
         + [T.StructField(c, T.LongType()) for c in longs]
         + [T.StructField("tier", T.IntegerType())]
     )
-    arrow = to_arrow_schema(schema, timezone="UTC")
+    arrow = to_arrow_schema(schema)
 
     def block(names: list[pa.Array], ids: list[np.ndarray], sequence: count, groups: count) -> Iterator[pa.RecordBatch]:
         windows = pack_lengths([len(x) for x in ids], tiers)

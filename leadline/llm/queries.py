@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadline.llm import decontamination, line_dedup, packing, quality_rules
+from leadline.llm import decontamination, line_dedup, packing, quality_rules, toxicity
 from leadline.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,12 @@ def decontamination_query(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op2_toxicity")
+def toxicity_query(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return toxicity.judge(docs, read_table(spark, folder, "labels"))
+
+
 @query(
     "op6_line_dedup",
     r"""

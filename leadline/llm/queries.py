@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadline.llm import decontamination, line_dedup, packing, quality_rules, toxicity
+from leadline.llm import decontamination, line_dedup, near_dedup, packing, quality_rules, token_files, toxicity
+from leadline.session import staging_dir
 from leadline.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +73,14 @@ def toxicity_query(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.judge(docs, read_table(spark, folder, "labels"))
 
 
+@query("op4_token_files")
+def token_files_query(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    path = f"{staging_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query(
     "op6_line_dedup",
     r"""
@@ -111,3 +121,8 @@ def packing_query(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group"
     )
+
+
+@query("op10_near_dedup")
+def near_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, folder, "documents").select("doc_id", "text"), size=4)

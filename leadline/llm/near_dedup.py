@@ -9,8 +9,8 @@ which the similarity of two texts is estimated; the HEAD smallest are posted to
    rarest ones must share one. A text with unique values posts none for these.
 3. Lists of up to SHORT_LIST texts give their pairs. A longer list is worked off in rounds: each
    round compares all its texts with one pivot and joins those that match into components; a
-   list is done when its texts are one component. What is left after PIVOT_ROUNDS rounds is
-   compared across components. No list is capped.
+   list is done when its texts are one component. Texts of lists that the rounds leave in several
+   components are compared across these by their smallest values. No list is capped.
 4. The union-sketch estimate drops pairs far below the similarity. The others are verified on
    full shingle sets: first each text's best partner, then only pairs still in different components.
 """
@@ -34,7 +34,10 @@ from leadline.session import stage
 KEPT = 96
 HEAD = 48
 SHORT_LIST = 64
-PIVOT_ROUNDS = 4
+# Rounds over long lists, by what their pivots are.
+PIVOTS = ("central", "smallest", "any")
+# Smallest values posted for texts that the rounds leave apart; all missed with a chance of 0.2 ** REST.
+REST = 10
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -83,7 +86,7 @@ def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
 
 
 def _posted(classes: DataFrame, similarity: float) -> DataFrame:
-    """Postings (v, doc, n): of each text's HEAD values the rarest that a similar text cannot all miss."""
+    """Postings (v, doc, n, weight): of each text's HEAD values the rarest that a similar text cannot all miss."""
     values = classes.select("doc", "n", F.explode(F.slice("sketch", 1, HEAD)).alias("v"))
     shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
     by_doc = (
@@ -98,37 +101,40 @@ def _posted(classes: DataFrame, similarity: float) -> DataFrame:
     # Values that no other text has are the rarest of all; they take slots without being posted.
     own = m - F.size("common")
     left = F.greatest(F.least(slots - own, F.size("common").cast("long")), F.lit(0)).cast("int")
-    posts = by_doc.where(left > 0).select("doc", "n", F.explode(F.slice("common", F.lit(1), left)).alias("x"))
-    return posts.select("x.v", "doc", "n")
+    weight = F.aggregate("common", F.lit(0).cast("long"), lambda total, x: total + x["df"])
+    posts = by_doc.where(left > 0).select(
+        "doc", "n", weight.alias("weight"), F.explode(F.slice("common", F.lit(1), left)).alias("x")
+    )
+    return posts.select("x.v", "doc", "n", "weight")
 
 
 def _sizes_allow(a: Column, b: Column, similarity: float) -> Column:
     return F.least(a, b) >= F.lit(similarity - 1e-9) * F.greatest(a, b)
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) whose union sketch does not rule the similarity out, with the estimate.
+def _likely(n_a: Column, n_b: Column, s_a: Column, s_b: Column, similarity: float) -> tuple[Column, Column, Column]:
+    """(exact, estimate, likely) of two sketches.
 
-    ``exact`` marks pairs whose sketches are their whole sets: there the estimate is the Jaccard
-    similarity itself, and pairs below the asked one go.
+    ``exact``: the sketches are whole sets, and the estimate is the Jaccard similarity itself.
+    Otherwise it is the share of common values among the smallest of the union. ``likely`` is
+    false where the similarity is ruled out, by five deviations of the estimate.
     """
-    side = classes.select("doc", "n", "sketch")
-    joined = (
-        pairs.join(side.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a")), "a")
-        .join(side.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b")), "b")
-        .withColumn("low", F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, KEPT))
-    )
-    both = F.size(F.array_intersect(F.array_intersect("s_a", "s_b"), "low"))
-    exact = (F.col("n_a") + F.col("n_b") <= KEPT) | (F.greatest("n_a", "n_b") <= KEPT)
-    whole = F.size(F.array_union("s_a", "s_b"))
-    cells = joined.select(
-        "a",
-        "b",
-        exact.alias("exact"),
-        F.when(exact, F.size(F.array_intersect("s_a", "s_b")) / whole).otherwise(both / F.size("low")).alias("estimate"),
-    )
+    exact = F.greatest(n_a, n_b) <= KEPT
+    union, common = F.array_union(s_a, s_b), F.array_intersect(s_a, s_b)
+    low = F.slice(F.array_sort(union), 1, KEPT)
+    estimate = F.when(exact, F.size(common) / F.size(union)).otherwise(F.size(F.array_intersect(common, low)) / F.size(low))
     lowest = similarity - 5 * math.sqrt(similarity * (1 - similarity) / KEPT)
-    return cells.where(F.col("estimate") >= F.when(F.col("exact"), F.lit(similarity - 1e-9)).otherwise(F.lit(lowest)))
+    return exact, estimate, estimate >= F.when(exact, F.lit(similarity - 1e-9)).otherwise(F.lit(lowest))
+
+
+def _estimated(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) that are likely, with ``exact`` and ``estimate``."""
+    side = classes.select("doc", "n", "sketch")
+    joined = pairs.join(
+        side.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a")), "a"
+    ).join(side.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b")), "b")
+    exact, estimate, likely = _likely(F.col("n_a"), F.col("n_b"), F.col("s_a"), F.col("s_b"), similarity)
+    return joined.where(likely).select("a", "b", exact.alias("exact"), estimate.alias("estimate"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -237,58 +243,84 @@ def near_duplicates(
     wanted = wanted.union(long.where(F.col("n") >= math.floor(similarity * KEPT)).select("doc")).distinct()
     sets = stage(_full_sets(docs, classes.join(wanted, "doc", "left_semi"), size, id_col, text_col))
 
-    edges = stage(_verified(_best_partner(pairs), sets, similarity))
+    def round_of(pivot: str, labels: DataFrame | None) -> DataFrame:
+        return _estimated(_with_pivots(long, labels, pivot, similarity), classes, similarity).drop("estimate")
+
+    has_long = not long.isEmpty()
+    first = _best_partner(pairs)
+    if has_long:
+        first = first.unionByName(round_of(PIVOTS[0], None))
+    edges = stage(_verified(first, sets, similarity))
     labels = components(edges)
-    edges = edges.union(stage(_verified(_across(pairs, labels), sets, similarity)))
+    second = _across(pairs, labels).drop("estimate")
+    if has_long:
+        second = second.unionByName(round_of(PIVOTS[1], labels))
+    edges = edges.union(stage(_verified(second, sets, similarity)))
     labels = components(edges)
-
-    for round_ in range(0 if long.isEmpty() else PIVOT_ROUNDS):
-        now = long.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select(
-            "v", "doc", "n", F.coalesce("component", "doc").alias("c")
-        )
-        rank = F.struct("n", "doc", "c") if round_ == 0 else F.struct(F.xxhash64("doc", F.lit(round_)), "doc", "c", "n")
-        pivots = (
-            now.groupBy("v")
-            .agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(rank).alias("p"))
-            .where(F.col("low") != F.col("high"))
-            .select("v", F.col("p.doc").alias("pivot"), F.col("p.c").alias("pivot_c"), F.col("p.n").alias("pivot_n"))
-        )
-        near = (F.col("c") != F.col("pivot_c")) & _sizes_allow(F.col("n"), F.col("pivot_n"), similarity)
-        tried = now.join(pivots, "v").where(near).select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
-        matched = stage(_verified(_estimated(tried.distinct(), classes, similarity), sets, similarity))
-        if matched.isEmpty() and round_ > 0:
-            break
-        edges = edges.union(matched)
-        labels = components(edges)
-
-    labels = _rest_of_long_lists(long, classes, labels, edges, sets, similarity)
+    for pivot in PIVOTS[2:] if has_long else ():
+        more = stage(_verified(round_of(pivot, labels), sets, similarity))
+        if not more.isEmpty():
+            edges = edges.union(more)
+            labels = components(edges)
+    if has_long:
+        more = stage(_verified(_rest_of_long_lists(long, classes, labels, similarity), sets, similarity))
+        if not more.isEmpty():
+            labels = components(edges.union(more))
     return _labelled(rows, classes, labels)
 
 
-def _rest_of_long_lists(
-    long: DataFrame, classes: DataFrame, labels: DataFrame, edges: DataFrame, sets: DataFrame, similarity: float
-) -> DataFrame:
-    """Compare what the rounds left in different components.
+def _placed(long: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The postings with the component of each text so far."""
+    if labels is None:
+        return long.withColumn("c", F.col("doc"))
+    return long.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
+
+
+def _with_pivots(long: DataFrame, labels: DataFrame | None, pivot: str, similarity: float) -> DataFrame:
+    """Pairs (a, b): each text of a long list and the list's pivot, where still in different components.
 
-    A pair is made once, in the list of the smallest value that both post, and only where the
-    sizes allow the similarity.
+    The central text of a list has the most values that many texts have: few edits of its own.
     """
-    now = long.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select(
-        "v", "doc", "n", F.coalesce("component", "doc").alias("c")
+    now = _placed(long, labels)
+    rank = {
+        "central": F.struct(-F.col("weight"), "doc", "c", "n"),
+        "smallest": F.struct("n", "doc", "c"),
+        "any": F.struct(F.xxhash64("doc"), "doc", "c", "n"),
+    }[pivot]
+    pivots = (
+        now.groupBy("v")
+        .agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(rank).alias("p"))
+        .where(F.col("low") != F.col("high"))
+        .select("v", F.col("p.doc").alias("pivot"), F.col("p.c").alias("pivot_c"), F.col("p.n").alias("pivot_n"))
     )
+    near = (F.col("c") != F.col("pivot_c")) & _sizes_allow(F.col("n"), F.col("pivot_n"), similarity)
+    tried = now.join(pivots, "v").where(near)
+    return tried.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
+
+
+def _rest_of_long_lists(long: DataFrame, classes: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Likely pairs across components among the texts of long lists that are still mixed.
+
+    These texts post their REST smallest values. A pair is looked at once, in the list of the
+    smallest value that both post; sizes and sketches are compared inside the join, so that only
+    likely pairs come out of it.
+    """
+    now = _placed(long, labels)
     mixed = now.groupBy("v").agg(F.min("c").alias("low"), F.max("c").alias("high")).where(F.col("low") != F.col("high"))
-    now = stage(now.join(mixed.select("v"), "v", "left_semi"))
-    if now.isEmpty():
-        return labels
-    posted = now.groupBy("doc").agg(F.collect_set("v").alias("vs"))
-    now = stage(now.join(posted, "doc"))
-    x, y = now.alias("x"), now.alias("y")
-    once = F.array_min(F.array_intersect("x.vs", "y.vs")) == F.col("x.v")
-    fits = _sizes_allow(F.col("x.n"), F.col("y.n"), similarity)
-    apart = (F.col("x.doc") < F.col("y.doc")) & (F.col("x.c") != F.col("y.c"))
-    pairs = x.join(y, (F.col("x.v") == F.col("y.v")) & apart & fits & once)
-    pairs = pairs.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-    return components(edges.union(stage(_verified(_estimated(pairs, classes, similarity), sets, similarity))))
+    left = now.join(mixed.select("v"), "v", "left_semi").select("doc", "c").distinct()
+    texts = left.join(classes, "doc").select("doc", "c", "n", "sketch", F.posexplode(F.slice("sketch", 1, REST)).alias("k", "v"))
+    texts = stage(texts.withColumn("before", F.expr("slice(sketch, 1, k)")).drop("k"))
+    x, y = texts.alias("x"), texts.alias("y")
+    exact, _, likely = _likely(*(F.col(c) for c in ("x.n", "y.n", "x.sketch", "y.sketch")), similarity)
+    met = (
+        (F.col("x.v") == F.col("y.v"))
+        & (F.col("x.doc") < F.col("y.doc"))
+        & (F.col("x.c") != F.col("y.c"))
+        & _sizes_allow(F.col("x.n"), F.col("y.n"), similarity)
+        & ~F.arrays_overlap("x.before", "y.before")
+        & likely
+    )
+    return x.join(y, met).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), exact.alias("exact"))
 
 
 def _labelled(rows: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:

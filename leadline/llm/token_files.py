@@ -62,9 +62,10 @@ class Grammar:
 def re_pair(ids: np.ndarray, counts: np.ndarray, base: int, least: int = LEAST_COUNT) -> Grammar:
     """Grammar of documents given as one run of ids and the number of ids of each.
 
-    Each round counts all neighbouring pairs inside documents and replaces those at least half
-    as frequent as the most frequent one. Where chosen pairs overlap, a run of them is replaced
-    from its left end. Rounds go on until no pair occurs ``least`` times or 16-bit symbols run out.
+    Each round counts all neighbouring pairs inside documents and replaces those at least a third
+    as frequent as the round before asked for, from the most frequent on. Where chosen pairs
+    overlap, a run of them is replaced from its left end. Rounds end when one has asked for
+    ``least`` occurrences and replaced less than a thousandth, or when 16-bit symbols run out.
     """
     if base > MAX_SYMBOL or len(ids) and int(ids.max()) >= base:
         raise ValueError("ids must be smaller than base, and base at most 65536")
@@ -76,6 +77,7 @@ def re_pair(ids: np.ndarray, counts: np.ndarray, base: int, least: int = LEAST_C
     rules: list[np.ndarray] = []
     free = base
     bits = 18
+    asked = len(symbols)
     while free < MAX_SYMBOL and len(symbols) > 1:
         keys = (symbols[:-1] << np.uint32(16)) | symbols[1:]
         inside = ~last[:-1]
@@ -84,10 +86,10 @@ def re_pair(ids: np.ndarray, counts: np.ndarray, base: int, least: int = LEAST_C
             break
         edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         pairs, times = ordered[edges], np.diff(np.append(edges, len(ordered)))
-        top = int(times.max())
-        if top < least:
+        asked = max(least, min(asked, int(times.max())) // 3)
+        frequent = np.flatnonzero(times >= asked)
+        if not len(frequent):
             break
-        frequent = np.flatnonzero(times >= max(least, (top + 1) // 2))
         frequent = frequent[np.argsort(-times[frequent], kind="stable")][: MAX_SYMBOL - free]
         chosen = pairs[frequent]
         # A table by hash: of chosen pairs with one hash the most frequent stays, the others wait.
@@ -95,23 +97,33 @@ def re_pair(ids: np.ndarray, counts: np.ndarray, base: int, least: int = LEAST_C
         _, kept = np.unique(slots, return_index=True)
         kept.sort()
         chosen, slots = chosen[kept], slots[kept]
-        table = np.full(1 << bits, -1, np.int64)
+        # Most places are ruled out by one bit per hash, which stays in the processor's cache.
+        marked = np.zeros(1 << bits, bool)
+        marked[slots] = True
+        hashed = (keys * np.uint32(2654435761)) >> np.uint32(32 - bits)
+        found = np.flatnonzero(marked[hashed] & inside)
+        table = np.zeros(1 << bits, np.int32)
         table[slots] = np.arange(len(chosen))
-        at = table[((keys * np.uint32(2654435761)) >> np.uint32(32 - bits))]
-        found = np.flatnonzero(inside & (at >= 0))
-        found = found[chosen[at[found]] == keys[found]]
+        at = table[hashed[found]]
+        same = chosen[at] == keys[found]
+        found, at = found[same], at[same]
         starts = np.concatenate(([True], np.diff(found) != 1))
         place = np.arange(len(found))
         run = place[starts][np.cumsum(starts) - 1]
-        found = found[(place - run) % 2 == 0]
-        used, number = np.unique(at[found], return_inverse=True)
+        even = (place - run) % 2 == 0
+        found, at = found[even], at[even]
+        used = np.flatnonzero(np.bincount(at, minlength=len(chosen)))
+        number = np.zeros(len(chosen), np.uint32)
+        number[used] = np.arange(len(used), dtype=np.uint32)
         rules.append(np.stack([chosen[used] >> np.uint32(16), chosen[used] & np.uint32(0xFFFF)], axis=1))
-        symbols[found] = free + number
+        symbols[found] = np.uint32(free) + number[at]
         free += len(used)
         stay = np.ones(len(symbols), bool)
         stay[found + 1] = False
         last[found] = last[found + 1]
         symbols, last = symbols[stay], last[stay]
+        if asked == least and len(found) < 0.001 * len(symbols):
+            break
     stops = np.append(0, np.flatnonzero(last) + 1)
     owner_sizes[counts > 0] = np.diff(stops)
     made = np.concatenate(rules) if rules else np.zeros((0, 2))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ def encoder(path: str) -> Encoder:
 def _encode_strings(tokenizer, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     ids = [e.ids for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
     lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-    flat = np.fromiter((i for part in ids for i in part), dtype=np.uint32, count=int(lengths.sum()))
+    flat = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(lengths.sum()))
     return flat, lengths
 
 

@@ -37,7 +37,9 @@ SHORT_LIST = 64
 # Rounds over long lists, by what their pivots are.
 PIVOTS = ("central", "smallest", "any")
 # Smallest values posted for texts that the rounds leave apart; all missed with a chance of 0.2 ** REST.
-REST = 10
+REST = 8
+# Texts of a block, and columns into which the values of its sketches are hashed.
+BLOCK, COLUMNS = 1024, 4096
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -184,17 +186,24 @@ def _best_partner(pairs: DataFrame) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """doc, members (sorted shingle hashes as bytes) of the classes in ``wanted`` (doc, first_id)."""
+    """doc, members (sorted shingle hashes as bytes) and head (REST smallest) of the classes in ``wanted`` (doc, first_id)."""
 
     def work(texts, part):
-        members = [shingles_of(t, size).tobytes() for t in texts.to_pylist()]
-        return {"doc": [_digest(m) for m in members], "members": members}
+        values = [shingles_of(t, size) for t in texts.to_pylist()]
+        members = [x.tobytes() for x in values]
+        heads = pa.array([x[:REST] for x in values], pa.list_(pa.int64()))
+        return {"doc": [_digest(m) for m in members], "members": members, "head": heads}
 
     ids = wanted.select(F.col("first_id").alias("id"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
-    fields = [T.StructField("doc", T.BinaryType()), T.StructField("members", T.BinaryType())]
+    fields = [
+        T.StructField("doc", T.BinaryType()),
+        T.StructField("members", T.BinaryType()),
+        T.StructField("head", T.ArrayType(T.LongType())),
+    ]
     # One row per class, also where rows repeat or an id has other texts too.
-    return map_texts(rows, "text", fields, work, []).groupBy("doc").agg(F.first("members").alias("members"))
+    made = map_texts(rows, "text", fields, work, [])
+    return made.groupBy("doc").agg(F.first("members").alias("members"), F.first("head").alias("head"))
 
 
 def _digest(members: bytes) -> bytes:
@@ -238,9 +247,8 @@ def near_duplicates(
     found = left.join(right, (left["v"] == right["v"]) & (left["a"] < right["b"]) & fits).select("a", "b").distinct()
     pairs = stage(_estimated(found, classes, similarity))
 
-    # Sketches of up to KEPT values are whole sets; only pairs with a larger text need the texts again.
-    wanted = pairs.where(~F.col("exact")).select(F.explode(F.array("a", "b")).alias("doc"))
-    wanted = wanted.union(long.where(F.col("n") >= math.floor(similarity * KEPT)).select("doc")).distinct()
+    # Sketches of up to KEPT values are whole sets; other pairs, and long lists, need the texts again.
+    wanted = pairs.where(~F.col("exact")).select(F.explode(F.array("a", "b")).alias("doc")).union(long.select("doc")).distinct()
     sets = stage(_full_sets(docs, classes.join(wanted, "doc", "left_semi"), size, id_col, text_col))
 
     def round_of(pivot: str, labels: DataFrame | None) -> DataFrame:
@@ -263,7 +271,7 @@ def near_duplicates(
             edges = edges.union(more)
             labels = components(edges)
     if has_long:
-        more = stage(_verified(_rest_of_long_lists(long, classes, labels, similarity), sets, similarity))
+        more = stage(_rest_of_long_lists(long, sets, labels, similarity))
         if not more.isEmpty():
             labels = components(edges.union(more))
     return _labelled(rows, classes, labels)
@@ -298,29 +306,78 @@ def _with_pivots(long: DataFrame, labels: DataFrame | None, pivot: str, similari
     return tried.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
 
 
-def _rest_of_long_lists(long: DataFrame, classes: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """Likely pairs across components among the texts of long lists that are still mixed.
+def _rest_of_long_lists(long: DataFrame, sets: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) across components among the texts of long lists that are still mixed.
 
-    These texts post their REST smallest values. A pair is looked at once, in the list of the
-    smallest value that both post; sizes and sketches are compared inside the join, so that only
-    likely pairs come out of it.
+    These texts post their REST smallest values. A list is dealt into blocks of about BLOCK texts,
+    and each pair of blocks is one group that has the full sets of its texts, so no task holds a
+    whole list and no pair is moved. A pair is looked at in one list only.
     """
     now = _placed(long, labels)
     mixed = now.groupBy("v").agg(F.min("c").alias("low"), F.max("c").alias("high")).where(F.col("low") != F.col("high"))
     left = now.join(mixed.select("v"), "v", "left_semi").select("doc", "c").distinct()
-    texts = left.join(classes, "doc").select("doc", "c", "n", "sketch", F.posexplode(F.slice("sketch", 1, REST)).alias("k", "v"))
-    texts = stage(texts.withColumn("before", F.expr("slice(sketch, 1, k)")).drop("k"))
-    x, y = texts.alias("x"), texts.alias("y")
-    exact, _, likely = _likely(*(F.col(c) for c in ("x.n", "y.n", "x.sketch", "y.sketch")), similarity)
-    met = (
-        (F.col("x.v") == F.col("y.v"))
-        & (F.col("x.doc") < F.col("y.doc"))
-        & (F.col("x.c") != F.col("y.c"))
-        & _sizes_allow(F.col("x.n"), F.col("y.n"), similarity)
-        & ~F.arrays_overlap("x.before", "y.before")
-        & likely
-    )
-    return x.join(y, met).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), exact.alias("exact"))
+    texts = stage(left.join(sets, "doc").select("doc", "c", "members", F.explode("head").alias("v")))
+    blocks = texts.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    dealt = texts.join(blocks, "v").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "c", "members")
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        v, i, j = key
+        left, right = rows[rows["own"] == i], rows[rows["own"] == j]
+        found = [] if left.empty or right.empty else _links_in_blocks(int(v), left, right, i == j, similarity)
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return dealt.groupBy("v", "i", "j").applyInPandas(compare, "a binary, b binary")
+
+
+def _counts(sets: list[np.ndarray], columns: int) -> np.ndarray:
+    """A row per set: how many of its values fall into each of the hashed columns."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    at = row * columns + np.concatenate(sets) % columns
+    return np.bincount(at, minlength=len(sets) * columns).reshape(-1, columns).astype(np.float32)
+
+
+def _links_in_blocks(v: int, left: pd.DataFrame, right: pd.DataFrame, same: bool, similarity: float) -> list[tuple]:
+    """Pairs (a, b) of two blocks of list ``v`` that link different components."""
+    docs_a, docs_b = ([bytes(d) for d in side["doc"]] for side in (left, right))
+    sets_a, sets_b = ([np.frombuffer(m, np.int64) for m in side["members"]] for side in (left, right))
+    codes, names = pd.factorize(pd.concat([left["c"], right["c"]]).map(bytes))
+    c_a, c_b = codes[: len(left)], codes[len(left) :]
+    n_a, n_b = np.array([len(s) for s in sets_a]), np.array([len(s) for s in sets_b])
+    # Values that share a column by chance only add to a count, so a count rules out no similar pair.
+    low_a, low_b = _counts([s[:KEPT] for s in sets_a], COLUMNS), _counts([s[:KEPT] for s in sets_b], COLUMNS)
+    lowest = KEPT * similarity - 5 * math.sqrt(KEPT * similarity * (1 - similarity))
+    # Of whole sets at least this many values are common; of longer texts' sketches at least ``lowest``.
+    needed = np.minimum(similarity / (1 + similarity) * (n_a[:, None] + n_b[None, :]) - 1e-6, lowest)
+    sizes = np.minimum(n_a[:, None], n_b[None, :]) >= (similarity - 1e-9) * np.maximum(n_a[:, None], n_b[None, :])
+    open_pairs = (low_a @ low_b.T >= needed) & sizes & (c_a[:, None] != c_b[None, :])
+    if same:
+        open_pairs = np.triu(open_pairs, 1)
+    # A pair with a smaller value in common is looked at in that value's list.
+    heads_a, heads_b = ([s[:REST][s[:REST] < v] for s in sets] for sets in (sets_a, sets_b))
+    values = np.unique(np.concatenate([*heads_a, *heads_b]))
+    if len(values):
+        mark_a, mark_b = (_counts([np.searchsorted(values, h) for h in heads], len(values)) for heads in (heads_a, heads_b))
+        open_pairs &= (mark_a @ mark_b.T) == 0
+    root = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for x, y in np.argwhere(open_pairs).tolist():
+        p, q = find(c_a[x]), find(c_b[y])
+        if p == q:
+            continue
+        met = len(np.intersect1d(sets_a[x], sets_b[y], assume_unique=True))
+        if met >= similarity * (n_a[x] + n_b[y] - met) - 1e-9:
+            root[p] = q
+            out.append((docs_a[x], docs_b[y]))
+    return out
 
 
 def _labelled(rows: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:

@@ -9,8 +9,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadline.llm import decontamination, line_dedup, near_dedup, packing, quality_rules, token_files, toxicity
-from leadline.session import staging_dir
+from leadline.llm import (
+    decontamination,
+    licenses,
+    line_dedup,
+    near_dedup,
+    packing,
+    quality,
+    quality_rules,
+    token_files,
+    token_rollup,
+    toxicity,
+)
+from leadline.session import stage, staging_dir
 from leadline.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +84,11 @@ def toxicity_query(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.judge(docs, read_table(spark, folder, "labels"))
 
 
+@query("op3_quality")
+def quality_query(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
 @query("op4_token_files")
 def token_files_query(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
@@ -81,6 +97,60 @@ def token_files_query(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_WORDS = (
+    "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    " '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+
+
+@query(
+    "op5_licenses",
+    rf"""
+    WITH lines AS (
+      SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+        generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+      FROM documents),
+    worded AS (
+      SELECT doc_id, pos, {_WORDS.format("line")} AS w FROM lines),
+    runs AS (
+      SELECT *, sum((len(w) = 0)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM worded),
+    filled AS (SELECT * FROM runs WHERE len(w) > 0),
+    paragraphs AS (
+      SELECT doc_id, run, count(*) AS n, flatten(list(w ORDER BY pos)) AS w FROM filled GROUP BY doc_id, run),
+    units AS (
+      SELECT doc_id, w FROM filled
+      UNION ALL SELECT doc_id, w FROM paragraphs WHERE n > 1
+      UNION ALL SELECT doc_id, flatten(list(w ORDER BY run)) FROM paragraphs GROUP BY doc_id HAVING count(*) > 1),
+    grams AS (
+      SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM units WHERE len(w) > 1),
+    templates AS (
+      SELECT licence, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
+      FROM (SELECT licence, {_WORDS.format("body")} AS w
+            FROM (VALUES {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in licenses.TEMPLATES.items())}) AS v(licence, body))),
+    scored AS (
+      SELECT doc_id, licence, max(2.0 * len(list_intersect(u.g, t.g)) / (len(u.g) + len(t.g))) AS dice
+      FROM grams u JOIN templates t
+        ON len(u.g) >= 0.8 / 1.2 * len(t.g) - 1e-9 AND len(u.g) <= len(t.g) * 1.2 / 0.8 + 1e-9
+      GROUP BY doc_id, licence)
+    SELECT d.doc_id, count(licence) AS n_licences, coalesce(string_agg(licence, ',' ORDER BY licence), '') AS licences,
+      round(coalesce(max(dice), 0)::DOUBLE, 6) AS best_dice
+    FROM documents d LEFT JOIN (SELECT * FROM scored WHERE dice >= 0.8) s USING (doc_id) GROUP BY d.doc_id
+    """,
+)
+def licenses_query(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(read_table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.size("matches").cast("long").alias("n_licences"),
+        F.array_join("matches.licence", ",").alias("licences"),
+        F.round(F.coalesce(F.array_max("matches.dice"), F.lit(0.0)), 6).alias("best_dice"),
+    )
+
+
 @query(
     "op6_line_dedup",
     r"""
@@ -109,6 +179,55 @@ def line_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+# Token rules of the two tokenizer versions that the rollup counts.
+WORD_1 = r"[^\x20\x09-\x0D]+"
+WORD_2 = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+|[^0-9A-Za-z\x20\x09-\x0D\x{80}-\x{10FFFF}]"
+
+
+@query(
+    "op7_token_counts",
+    rf"""
+    WITH counts AS (
+      SELECT *, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id,
+        len(regexp_extract_all(coalesce(text, ''), '{WORD_1}')) AS n_1,
+        len(regexp_extract_all(coalesce(text, ''), '{WORD_2}')) AS n_2
+      FROM documents)
+    SELECT source, lang, CASE WHEN n_1 = n_2 THEN 'word-1' ELSE 'word-2' END AS tokenizer_version,
+      count(*) AS docs, sum(n_2)::BIGINT AS tokens
+    FROM counts WHERE doc_id = first_id GROUP BY ALL
+    """,
+)
+def token_counts_query(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents inserted, exact copies deleted, counts revised where a new tokenizer differs."""
+    text = F.coalesce("text", F.lit(""))
+    counts = stage(
+        read_table(spark, folder, "documents").select(
+            "doc_id",
+            "source",
+            "lang",
+            F.sha2(text, 256).alias("digest"),
+            token_rollup.counted(text, WORD_1).alias("n_1"),
+            token_rollup.counted(text, WORD_2).alias("n_2"),
+        )
+    )
+    first = counts.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    placed = stage(counts.join(first, "digest").withColumn("copy", F.col("doc_id") != F.col("first_id")))
+
+    def events(op: str, version: str, count: str) -> DataFrame:
+        return placed.select(
+            F.lit(op).alias("op"), "doc_id", "source", "lang", F.lit(version).alias("tokenizer_version"),
+            F.col(count).alias("n_tokens"), "copy", (F.col("n_1") != F.col("n_2")).alias("differs"),
+        )
+
+    rollup = token_rollup.Rollup(spark, f"{staging_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup.commit(1, events("insert", "word-1", "n_1"))
+    deleted = events("delete", "word-1", "n_1").where("copy")
+    rollup.commit(2, deleted)
+    rollup.commit(2, deleted)  # a repeated commit changes nothing
+    rollup.commit(3, events("revise", "word-2", "n_2").where("NOT copy AND differs"))
+    return rollup.totals()
+
+
 @query("op8_quality_rules")
 def quality_rules_query(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, folder, "documents"))

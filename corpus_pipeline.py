@@ -31,7 +31,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of the smallest id, of each group of near copies; texts without words all stay."""
     judged = near_dedup.near_duplicates(docs)
-    dropped = judged.where(~F.col("kept")).select("doc_id").distinct()
+    kept_any = judged.groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    dropped = kept_any.where(~F.col("kept")).select("doc_id")
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -27,11 +27,12 @@ GROWTH = 1.05
 # that the upper limit keeps from the median, so that a group without spread rejects no normal text.
 METRICS = {
     "symbols": {"over": ("n_symbols", "n_words"), "slack": 150, "low": False},
-    "dup_lines": {"over": ("n_dup_lines", "n_lines"), "slack": 300, "low": False},
-    "repeats": {"over": ("n_repeat_words", "n_words"), "slack": 150, "low": False},
+    "dup_lines": {"over": ("n_dup_lines", "n_lines"), "slack": 500, "low": False},
+    "repeats": {"over": ("n_repeat_words", "n_words"), "slack": 250, "low": False},
     "word_length": {"over": ("word_chars", "n_words"), "slack": 3000, "low": True},
 }
-HIGH, LOW, SPREAD = 0.95, 0.05, 3.0
+# Quartiles, so that a fifth of junk in a group does not widen its limits.
+HIGH, LOW, SPREAD = 0.75, 0.25, 4.0
 MIN_GROUP = 100
 _SPACES = r"[\x20\x09-\x0D]+"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -228,7 +229,78 @@ def token_counts_query(spark: SparkSession, folder: str) -> DataFrame:
     return rollup.totals()
 
 
-@query("op8_quality_rules")
+def _quality_rules_sql() -> str:
+    """The rules of ``quality_rules.judge`` in SQL."""
+    q = quality_rules
+    metrics = " UNION ALL ".join(
+        f"SELECT doc_id, lang, source, base_failed, '{name}' AS metric, {m['slack']} AS slack, {m['low']} AS has_low,"
+        f" CASE WHEN {m['over'][1]} > 0 THEN {m['over'][0]} * 1000 // {m['over'][1]} END AS v FROM counts"
+        for name, m in q.METRICS.items()
+    )
+
+    def bounds(name: str, keys: str) -> str:
+        by = f"{keys}, metric" if keys else "metric"
+        return f"""
+    {name}_sum AS (SELECT {by}, bucket, sum(n) AS n FROM sketch GROUP BY ALL),
+    {name}_run AS (
+      SELECT {by}, bucket, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS total
+      FROM {name}_sum),
+    {name} AS (
+      SELECT {by}, max(total) AS total,
+        min(bucket) FILTER (upto * 100 >= total * {int(q.LOW * 100)}) AS lo,
+        min(bucket) FILTER (upto * 100 >= total * 50) AS mid,
+        min(bucket) FILTER (upto * 100 >= total * {int(q.HIGH * 100)}) AS hi
+      FROM {name}_run GROUP BY ALL)"""
+
+    def value(bucket: str) -> str:
+        return f"CASE WHEN {bucket} < 0 THEN 0 ELSE pow({q.GROWTH}, {bucket}) END"
+
+    return rf"""
+    WITH base AS (
+      SELECT doc_id, coalesce(lang, '?null') AS lang, coalesce(source, '?null') AS source, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+      FROM documents),
+    grams AS (
+      SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM base, unnest(range(1, greatest(len(w) - 6, 1))) AS t(i)),
+    repeated AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS c FROM grams) WHERE c > 1),
+    covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM repeated) GROUP BY 1),
+    lines AS (
+      SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup
+      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM base)
+      WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+    counts AS (
+      SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+        len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(l.n, 0) AS n_lines,
+        coalesce(l.dup, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+        len(w) < 20 OR 100 * coalesce(c.n, 0) > 30 * len(w) AS base_failed
+      FROM base LEFT JOIN covered c USING (doc_id) LEFT JOIN lines l USING (doc_id)),
+    metrics AS ({metrics}),
+    sketch AS (
+      SELECT lang, source, metric,
+        CASE WHEN v <= 0 THEN -1 ELSE floor(ln(v) / {math.log(q.GROWTH)!r})::INT END AS bucket, count(*) AS n
+      FROM metrics WHERE NOT base_failed GROUP BY ALL),
+    {bounds("own", "lang, source")},
+    {bounds("by_lang", "lang")},
+    {bounds("overall", "")},
+    chosen AS (
+      SELECT m.*,
+        CASE WHEN o.total >= {q.MIN_GROUP} THEN o.lo WHEN l.total >= {q.MIN_GROUP} THEN l.lo ELSE e.lo END AS lo,
+        CASE WHEN o.total >= {q.MIN_GROUP} THEN o.mid WHEN l.total >= {q.MIN_GROUP} THEN l.mid ELSE e.mid END AS mid,
+        CASE WHEN o.total >= {q.MIN_GROUP} THEN o.hi WHEN l.total >= {q.MIN_GROUP} THEN l.hi ELSE e.hi END AS hi
+      FROM metrics m LEFT JOIN own o USING (lang, source, metric) LEFT JOIN by_lang l USING (lang, metric)
+        LEFT JOIN overall e USING (metric) WHERE NOT base_failed),
+    valued AS (
+      SELECT doc_id, v, slack, has_low, {value("lo")} AS lo, {value("mid")} AS mid, {value("hi")} AS hi FROM chosen),
+    failed AS (
+      SELECT DISTINCT doc_id FROM valued
+      WHERE v > mid + greatest(slack, {q.SPREAD} * (hi - mid)) OR has_low AND v < mid - greatest(slack, {q.SPREAD} * (mid - lo)))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+      NOT base_failed AND f.doc_id IS NULL AS kept
+    FROM counts LEFT JOIN failed f USING (doc_id)
+    """
+
+
+@query("op8_quality_rules", _quality_rules_sql())
 def quality_rules_query(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, folder, "documents"))
 

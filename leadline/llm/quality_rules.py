@@ -101,6 +101,12 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def _value(name: str) -> Column:
+    """A metric in thousandths; a text without words or lines has 0."""
+    over, under = METRICS[name]["over"]
+    return F.floor(F.col(over) * 1000 / F.greatest(F.col(under), F.lit(1))).cast("long")
+
+
 def _bucket(value: Column) -> Column:
     return F.when(value <= 0, F.lit(-1)).otherwise(F.floor(F.log(value.cast("double")) / F.lit(math.log(GROWTH))).cast("int"))
 
@@ -111,10 +117,7 @@ def _from_bucket(bucket: Column) -> Column:
 
 def _long(counts: DataFrame) -> DataFrame:
     """One row per text and metric: lang, source, metric, value in thousandths."""
-    pairs = [
-        F.struct(F.lit(name).alias("metric"), F.floor(F.col(m["over"][0]) * 1000 / F.col(m["over"][1])).cast("long").alias("value"))
-        for name, m in METRICS.items()
-    ]
+    pairs = [F.struct(F.lit(name).alias("metric"), _value(name).alias("value")) for name in METRICS]
     return counts.select("lang", "source", F.explode(F.array(*pairs)).alias("m")).select("lang", "source", "m.metric", "m.value")
 
 
@@ -204,9 +207,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             chosen.append(level.alias(f"{name}_{side}"))
     table = table.select("lang", "source", *chosen)
     fails = F.lit(False)
-    for name, m in METRICS.items():
-        value = F.floor(F.col(m["over"][0]) * 1000 / F.col(m["over"][1]))
-        fails = fails | (value > F.col(f"{name}_upper")) | (value < F.col(f"{name}_lower"))
+    for name in METRICS:
+        fails = fails | (_value(name) > F.col(f"{name}_upper")) | (_value(name) < F.col(f"{name}_lower"))
     joined = counts.join(table, ["lang", "source"], "left")
     return joined.select(
         "doc_id",

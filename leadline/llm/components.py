@@ -21,21 +21,17 @@ def components(edges: DataFrame) -> DataFrame:
         .where(F.col("node") != F.col("next"))
         .distinct()
     )
-    labels = stage(both.groupBy("node").agg(F.min("next").alias("low")).select("node", F.least("node", "low").alias("label")))
+    first = both.groupBy("node").agg(F.min("next").alias("low"))
+    labels = stage(first.select("node", F.least("node", "low").alias("label"), F.lit(True).alias("moved")))
     while True:
-        near = (
-            both.join(labels.select(F.col("node").alias("next"), F.col("label").alias("other")), "next")
-            .groupBy("node")
-            .agg(F.min("other").alias("other"))
+        # A node takes the lowest label of its neighbours and of the node that is its label now.
+        told = labels.select(F.col("node").alias("next"), "label")
+        near = both.join(told, "next").select("node", "label")
+        jump = labels.select("node", F.col("label").alias("next")).join(told, "next").select("node", "label")
+        lowest = near.union(jump).groupBy("node").agg(F.min("label").alias("low"))
+        after = labels.join(lowest, "node").select(
+            "node", F.least("label", "low").alias("label"), (F.col("low") < F.col("label")).alias("moved")
         )
-        lower = labels.join(near, "node").select("node", F.least("label", "other").alias("label"), F.col("label").alias("old"))
-        # The label of the label, as known before this round: never larger, and one join instead of two.
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        after = stage(
-            lower.join(jump, "label", "left").select(
-                "node", F.least("label", F.coalesce("root", "label")).alias("label"), "old"
-            )
-        )
-        labels = after.select("node", "label")
-        if after.where(F.col("label") != F.col("old")).isEmpty():
-            return labels.withColumnRenamed("label", "component")
+        labels = stage(after)
+        if labels.where("moved").isEmpty():
+            return labels.select("node", F.col("label").alias("component"))

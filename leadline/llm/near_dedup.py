@@ -7,7 +7,7 @@ which the similarity of two texts is estimated; the HEAD smallest are posted to
 2. Of the HEAD values a text posts its rarest ones. Two texts of the asked similarity share so
    many of their HEAD values (all but a chance of about 1e-7) that, whatever the order, their
    rarest ones must share one. A text with unique values posts none for these.
-3. Lists of up to SHORT_LIST texts give their pairs. A longer list is worked off in rounds: each
+3. Lists of up to SHORT_LIST texts give their pairs. A longer list is worked off in two rounds: each
    round compares all its texts with one pivot and joins those that match into components; a
    list is done when its texts are one component. Texts of lists that the rounds leave in several
    components are compared across these by their smallest values. No list is capped.
@@ -35,11 +35,11 @@ KEPT = 96
 HEAD = 48
 SHORT_LIST = 64
 # Rounds over long lists, by what their pivots are.
-PIVOTS = ("central", "smallest", "any")
+PIVOTS = ("central", "smallest")
 # Smallest values posted for texts that the rounds leave apart; all missed with a chance of 0.2 ** REST.
 REST = 8
 # Texts of a block, and columns into which the values of its sketches are hashed.
-BLOCK, COLUMNS = 1024, 4096
+BLOCK, COLUMNS = 512, 4096
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -265,11 +265,6 @@ def near_duplicates(
         second = second.unionByName(round_of(PIVOTS[1], labels))
     edges = edges.union(stage(_verified(second, sets, similarity)))
     labels = components(edges)
-    for pivot in PIVOTS[2:] if has_long else ():
-        more = stage(_verified(round_of(pivot, labels), sets, similarity))
-        if not more.isEmpty():
-            edges = edges.union(more)
-            labels = components(edges)
     if has_long:
         more = stage(_rest_of_long_lists(long, sets, labels, similarity))
         if not more.isEmpty():
@@ -293,7 +288,6 @@ def _with_pivots(long: DataFrame, labels: DataFrame | None, pivot: str, similari
     rank = {
         "central": F.struct(-F.col("weight"), "doc", "c", "n"),
         "smallest": F.struct("n", "doc", "c"),
-        "any": F.struct(F.xxhash64("doc"), "doc", "c", "n"),
     }[pivot]
     pivots = (
         now.groupBy("v")

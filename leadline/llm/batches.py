@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,6 +17,14 @@ from leadline.llm.columns import free_name
 SLICE_BYTES = 8 << 20
 
 
+def free_memory() -> None:
+    """Give back what a task no longer holds; its Python worker stays for later tasks, idle or not."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts hold about ``limit`` bytes."""
     begin, held = 0, 0
@@ -61,5 +70,8 @@ def map_texts(
                     for v in [made[f.name]]
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *[f.name for f in fields]])
+                made = columns = part = None
+            batch = None
+        free_memory()
 
     return source.mapInArrow(run, schema)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadline.llm.batches import map_texts
+from leadline.llm.batches import free_memory, map_texts
 from leadline.llm.components import components
 from leadline.session import stage
 
@@ -158,6 +158,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
                 met = len(np.intersect1d(one, two, assume_unique=True))
                 keep.append(met >= similarity * (len(one) + len(two) - met) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        free_memory()
 
     return known.union(open_pairs.select("a", "b", "m_a", "m_b").mapInArrow(check, schema))
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from leadline.llm.batches import slices
+from leadline.llm.batches import free_memory, slices
 from leadline.llm.token_ids import encoder
 
 TIERS = (1024, 512, 256, 128, 64)
@@ -159,5 +159,7 @@ def pack(
                     names, ids, held = [], [], 0
         if ids:
             yield from block(names, ids, sequence, groups)
+        names = ids = flat = part = batch = None
+        free_memory()
 
     return source.mapInArrow(run, schema)

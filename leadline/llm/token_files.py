@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from leadline.llm.batches import slices
+from leadline.llm.batches import free_memory, slices
 from leadline.llm.columns import free_name
 from leadline.llm.token_ids import encoder
 
@@ -244,6 +244,8 @@ def write(
                     names.append(rows.column("doc_id").slice(begin))
         if parts:
             yield shard(piece, first, names, parts, base)
+        names = parts = flat = rows = batch = None
+        free_memory()
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # Texts move once, to ranges of ids; what follows runs in the same task.
@@ -290,6 +292,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 )
                 for at in range(0, whole.num_rows, 2000):
                     yield whole.slice(at, 2000)
+                row = found = ids = whole = None
+        free_memory()
 
     placed = shards.join(totals, "part").withColumn(first, F.col("part_first") + F.col("first"))
     return placed.select("base", "doc_ids", "n_tokens", "n_symbols", "rules", "spans", "symbols", first).mapInArrow(decode, schema)

@@ -310,6 +310,44 @@ def test_license_scan_equals_brute_force(docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_license_inside_longer_lines_and_wrapped(spark):
+    mit, mpl = licenses.PARAGRAPHS["MIT permission paragraph"], licenses.PARAGRAPHS["MPL-2.0 notice"]
+    cut = mit.split()
+    wrapped = "\n".join(" # " + " ".join(cut[k : k + 7]) for k in range(0, len(cut), 7))
+    texts = {
+        1: (f"Some words before. {mit} And some words after it.", {"MIT permission", "MIT permission paragraph"}),
+        2: (f"before\n{wrapped}\nafter it in the same paragraph", {"MIT permission", "MIT permission paragraph"}),
+        3: (mpl, {"MPL-2.0", "MPL-2.0 notice"}),
+        4: ("Copyright 2019 Example Corp. All rights reserved.", {"All rights reserved"}),
+        5: ("The code is small. Released under the MIT License. It has no tests.", {"MIT"}),
+        6: ("Rights of all people are reserved under the law of the software.", set()),
+    }
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "doc_id long, text string")
+    for r in licenses.scan(rows).collect():
+        assert {m["licence"] for m in r["matches"]} == texts[r["doc_id"]][1]
+        assert all(m["dice"] == 1 for m in r["matches"])
+
+
+def test_license_best_run_equals_all_runs(spark):
+    rng = np.random.default_rng(7)
+    templates = {f"t{k}": " ".join(f"v{x}" for x in rng.integers(0, 5, 2 + k)) for k in range(10)}
+    texts = [" ".join(f"v{x}" for x in rng.integers(0, 6, rng.integers(0, 40))) for _ in range(120)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    matched = 0
+    for least in (0.8, 0.6):
+        for r in licenses.scan(rows, templates, least).collect():
+            w, want = texts[r["doc_id"]].split(), {}
+            for name, body in templates.items():
+                b = set(zip(body.split(), body.split()[1:]))
+                runs = [set(zip(w[i:j], w[i + 1 : j])) for i in range(len(w)) for j in range(i + 2, len(w) + 1)]
+                best = max((2 * len(a & b) / (len(a) + len(b)) for a in runs), default=0)
+                if best >= least:
+                    want[name] = best
+            assert {m["licence"]: m["dice"] for m in r["matches"]} == want
+            matched += len(want)
+    assert matched > 50
+
+
 def test_rollup_is_additive_and_idempotent(spark, tmp_path):
     schema = "op string, doc_id long, source string, lang string, tokenizer_version string, n_tokens long, extra string"
     rollup = token_rollup.Rollup(spark, str(tmp_path))

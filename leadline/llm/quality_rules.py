@@ -1,9 +1,10 @@
 r"""Quality rules with adaptive thresholds, DataFrame functions only.
 
 Base counts come from each whole text. Two fixed base rules reject texts that are too short
-or repeat themselves. The remaining rules have no fixed cutoffs: each metric's distribution
-is sketched per (lang, source), and a text is rejected where it lies far outside the bulk of
-its group.
+or repeat themselves. For the remaining rules each metric's distribution is sketched per
+(lang, source), and a text is rejected where it lies far outside the bulk of its group: beyond
+the median by four quartile distances and by a fixed least slack. Where a group's quartiles
+lie close together the slack alone decides; the README says how often.
 
 The sketch is a log-bucket histogram: a value falls into the bucket ``floor(ln(v) / ln(GROWTH))``
 and a sketch is its bucket counts. Two sketches merge by adding counts, which is how a group

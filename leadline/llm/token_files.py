@@ -64,8 +64,8 @@ def re_pair(ids: np.ndarray, counts: np.ndarray, base: int, least: int = LEAST_C
 
     Each round counts all neighbouring pairs inside documents and replaces those at least a third
     as frequent as the round before asked for, from the most frequent on. Where chosen pairs
-    overlap, a run of them is replaced from its left end. Rounds end when one has asked for
-    ``least`` occurrences and replaced less than a thousandth, or when 16-bit symbols run out.
+    overlap, a run of them is replaced from its left end. Rounds go on until no pair occurs
+    ``least`` times or 16-bit symbols run out.
     """
     if base > MAX_SYMBOL or len(ids) and int(ids.max()) >= base:
         raise ValueError("ids must be smaller than base, and base at most 65536")
@@ -122,8 +122,6 @@ def re_pair(ids: np.ndarray, counts: np.ndarray, base: int, least: int = LEAST_C
         stay[found + 1] = False
         last[found] = last[found + 1]
         symbols, last = symbols[stay], last[stay]
-        if asked == least and len(found) < 0.001 * len(symbols):
-            break
     stops = np.append(0, np.flatnonzero(last) + 1)
     owner_sizes[counts > 0] = np.diff(stops)
     made = np.concatenate(rules) if rules else np.zeros((0, 2))

@@ -219,6 +219,16 @@ def test_re_pair_round_trip_and_random_access():
     assert len(token_files.re_pair(np.zeros(0, np.uint32), np.zeros(2, np.int64), 10).symbols) == 0
 
 
+def test_re_pair_leaves_no_frequent_pair():
+    """Also where a round replaces few places: a passage six times among ids that occur once."""
+    passage = np.arange(50_000, 50_016)
+    once = np.array_split(np.arange(50_000), 6)
+    ids = np.concatenate([np.append(part, passage) for part in once]).astype(np.uint32)
+    g = token_files.re_pair(ids, np.array([len(ids)]), 50_016)
+    left = Counter(zip(g.symbols.tolist(), g.symbols[1:].tolist()))
+    assert g.base + len(g.rules) < token_files.MAX_SYMBOL and max(left.values()) < token_files.LEAST_COUNT
+
+
 def test_token_files_hold_every_document(spark, docs, empty, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)

@@ -32,6 +32,9 @@ BLOCKS_AT_ONCE = 4
 # Spans that the cleaner cuts: hit runs of at least this many words; and the share of hit
 # words above which it drops the whole document.
 MAX_SPAN, MAX_COVERAGE = 10, 0.5
+# Items shorter than a window that the cleaner cuts have at least this many words; below it, ordinary
+# phrases would go ("all day").
+LEAST_ITEM = 5
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 # Bytes of words keep their value with A-Z lower-cased, all others become a space. UTF-8 bytes
@@ -248,12 +251,13 @@ def hit_words(spans: str = "spans") -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
 
 
-def _without(text: bytes, spans: list[dict], limit: int) -> bytes:
-    """The text without the words of long spans and what stands between them."""
+def _without(text: bytes, spans: list[dict], window: int, max_span: int, least_item: int) -> bytes:
+    """The text without the words of long spans, or of whole short items, and what stands between them."""
     places = [m.span() for m in _WORD.finditer(text)]
     out, at = [], 0
     for s in spans:
-        if s["to"] - s["from"] >= limit:
+        n = s["to"] - s["from"]
+        if n >= max_span or least_item <= n < window:  # a span below the window holds whole items only
             out.append(text[at : places[s["from"]][0]])
             at = places[s["to"] - 1][1]
     return b"".join([*out, text[at:]])
@@ -266,12 +270,14 @@ def clean(
     window: int = WINDOW,
     max_span: int = MAX_SPAN,
     max_coverage: float = MAX_COVERAGE,
+    least_item: int = LEAST_ITEM,
 ) -> DataFrame:
     """``docs`` without benchmark passages: rows with too much of them go, others lose them.
 
     A row whose hit words are more than ``max_coverage`` of its words goes. From other rows
     every span of at least ``max_span`` words is cut out of the text, from its first to its last
-    word. Rows without a hit keep their text unchanged, null texts included.
+    word, and so is a shorter one of whole items of fewer than ``window`` words, if it has at least
+    ``least_item`` words. Still shorter spans stay. Rows without a hit keep their text unchanged, null texts included.
     """
     n_words, spans, met = (free_name(docs, c) for c in ("hit_n_words", "hit_spans", "hit_items"))
     scanned = scan(docs, items, text_col, window=window, names=(n_words, spans, met))
@@ -279,7 +285,7 @@ def clean(
 
     def work(texts, part):
         found = part.column(spans).to_pylist()
-        cut = [_without(t, s, max_span) if s else t for t, s in zip(texts.to_pylist(), found)]
+        cut = [_without(t, s, window, max_span, least_item) if s else t for t, s in zip(texts.to_pylist(), found)]
         return {text_col: pa.array(cut, pa.binary()).cast(pa.string())}
 
     cleaned = map_texts(kept, text_col, [T.StructField(text_col, T.StringType())], work)

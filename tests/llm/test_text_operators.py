@@ -126,6 +126,15 @@ def test_decontamination_clean_cuts_or_drops(docs, items, empty):
     assert decontamination.scan(docs, items.limit(0)).where("size(items) > 0").count() == 0
 
 
+def test_decontamination_clean_cuts_whole_short_items(spark):
+    items = spark.createDataFrame([(1, "Who wrote the first long novel?"), (2, "all day")], "item_id long, text string")
+    around = " ".join(f"w{k}" for k in range(20))
+    texts = [f"{around}. Who wrote the first long novel? {around}", f"{around} who wrote the first {around}", f"{around} all day {around}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in decontamination.clean(docs, items).collect()}
+    assert got == {0: f"{around}. ? {around}", 1: texts[1], 2: texts[2]}
+
+
 def brute_lines(rows):
     def key(line):
         return re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadline.llm import decontamination, line_dedup, near_dedup, packing, toxicity
+from leadline.llm.columns import free_name
 from leadline.session import stage
 from leadline.sources.tables import read_table
 
@@ -29,11 +30,22 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of the smallest id, of each group of near copies; texts without words all stay."""
-    judged = near_dedup.near_duplicates(docs)
-    kept_any = judged.groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    dropped = kept_any.where(~F.col("kept")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies; rows without words all stay.
+
+    It is the row of the smallest id, then text hash, then row number; a null id comes after all
+    others. Rows are judged one by one, so rows that repeat an id are linked by their texts like
+    any others, and so are rows with a null id. Row numbers are staged with the rows, as they may
+    differ from one evaluation to the next.
+    """
+    number, key = free_name(docs, "row_number"), free_name(docs, "row_key")
+    rows = stage(docs.withColumn(number, F.monotonically_increasing_id()))
+    # No part is null, as a null id is never linked.
+    none = F.col("doc_id").isNull()
+    filled = F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType))
+    keyed = rows.withColumn(key, F.struct(none.alias("none"), filled.alias("id"), F.xxhash64("text").alias("hash"), F.col(number).alias("number")))
+    judged = near_dedup.near_duplicates(keyed, id_col=key)
+    dropped = judged.where(~F.col("kept")).select(F.col("doc_id.number").alias(number))
+    return rows.join(dropped, number, "left_anti").select(*docs.columns)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -233,3 +233,16 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(after["near_dedup"]) - set(final) == {3003}
     assert set(after["packing"]) == set(final)
     assert corpus_pipeline.run(spark, folder).select("doc_id").distinct().count() == len(final)
+
+
+def test_pipeline_near_copies_row_by_row(spark):
+    """Repeated rows, an id with several texts and null ids: one row of each group stays."""
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [(5, a), (5, a), (6, b), (7, c), (7, b), (None, c), (None, d), (None, d), (None, None), (None, None), (8, ""), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    key = lambda r: tuple((x is None, x) for x in r)
+    want = [(5, a), (6, b), (7, c), (None, d), (None, None), (None, None), (8, ""), (8, "")]
+    assert sorted([tuple(r)[:2] for r in got], key=key) == sorted(want, key=key)

@@ -8,6 +8,7 @@ from leadline.catalog.registry import LINE_KEY_SQL, query, rounded, with_lines
 from leadline.functions import dates
 from leadline.operators import aggregate as agg
 from leadline.operators.order_stats import exact_quantiles
+from leadline.operators.ranking import global_rank
 from leadline.plans import sales
 from leadline.session import stage
 from leadline.sources.tables import LINE_KEY, order_lines, read_table, web_events
@@ -115,6 +116,19 @@ def sales_by_customer_band(spark, folder):
     return rounded(sales.sales_by(banded, "customer_value_band"), off_tie=["avg_sale"], **DIGITS)
 
 
+@query(
+    "price_first_come_rank",
+    with_lines(
+        f" SELECT {LINE_KEY_SQL}, price, CASE WHEN price IS NOT NULL THEN"
+        f" row_number() OVER (ORDER BY price NULLS LAST, {LINE_KEY_SQL}) END AS price_rank FROM lines"
+    ),
+)
+def price_first_come_rank(spark, folder):
+    """The rank behind the price bands as data: each line's place by price, ties by the line key."""
+    lines = order_lines(spark, folder, ["price", *LINE_KEY])
+    return global_rank(lines, ["price", *LINE_KEY], "price_rank", null_rank=False)
+
+
 STACKED = ["market", "segment", "category", "payment_type", "shipping_mode"]
 
 

@@ -14,10 +14,12 @@ from leadline.llm import (
     decontamination,
     licenses,
     line_dedup,
+    mixing,
     near_dedup,
     packing,
     quality,
     quality_rules,
+    resampling,
     token_files,
     token_rollup,
     toxicity,
@@ -317,3 +319,113 @@ def packing_query(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_near_dedup")
 def near_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, folder, "documents").select("doc_id", "text"), size=4)
+
+
+def _permuted_sql(rows: str, x: str, n: str, key: str, name: str) -> str:
+    """``rows`` with the column ``name``: ``mixing.permuted`` of x in 0 .. n - 1, one subquery per round."""
+    sql = f"SELECT *, {x} AS cur, {n} AS n_, {key} AS key_ FROM {rows}"
+    for r in range(1, mixing.ROUNDS + 1):
+        partner = f"((('0x' || substr(md5(key_ || ':{r}'), 1, 15))::BIGINT % n_ - cur) % n_ + n_) % n_"
+        sql = f"SELECT *, CASE WHEN n_ > 1 THEN {partner} ELSE cur END AS other FROM ({sql})"
+        swap = f"n_ > 1 AND substr(md5(key_ || ':{r}:' || greatest(cur, other)), 1, 1) >= '8'"
+        sql = f"SELECT * EXCLUDE (cur, other), CASE WHEN {swap} THEN other ELSE cur END AS cur FROM ({sql})"
+    return f"SELECT * EXCLUDE (cur, n_, key_), cur AS {name} FROM ({sql})"
+
+
+def _mixing_sql() -> str:
+    m, size = mixing, mixing.BLOCK_WORDS
+    weights = ", ".join(f"{w}::DOUBLE" for w in m.WEIGHTS)
+    unfinished = _permuted_sql(
+        "turns", "turn", "blocks - 1", f"'{m.SEED}:block:' || no || ':' || epochs", "moved"
+    )
+    return rf"""
+    WITH sized AS (
+      SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+    sources AS (
+      SELECT source, sum(size)::BIGINT AS total, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM sized GROUP BY source),
+    weighed AS (
+      SELECT *, [{weights}][no % {len(m.WEIGHTS)} + 1] AS weight, {m.MOST}::DOUBLE * total AS cap,
+        {m.SHARE}::DOUBLE * sum(total) OVER () AS whole FROM sources),
+    levels AS (
+      SELECT *, cap / weight AS ratio,
+        (whole - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+      FROM weighed WINDOW b AS (ORDER BY cap / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    goals AS (
+      SELECT *, least(cap, coalesce(
+        (SELECT level FROM levels WHERE ratio > level ORDER BY ratio, no LIMIT 1) * weight, cap)) AS target FROM levels),
+    quotas AS (
+      SELECT *, floor(target)::BIGINT AS words, ceil(total / {size})::BIGINT AS blocks,
+        CASE WHEN total > 0 THEN floor(target)::BIGINT // total ELSE 0 END AS epochs FROM goals),
+    turns AS (
+      SELECT no, epochs, blocks, turn, least({size}, words - epochs * total - turn * {size}) AS part
+      FROM quotas, unnest(range(0, ceil((words - epochs * total) / {size})::BIGINT)) AS t(turn)),
+    unfinished AS (
+      SELECT no, part, CASE WHEN turn = blocks - 1 THEN turn ELSE moved END AS block FROM ({unfinished})),
+    placed AS (
+      SELECT d.*, no, total, target, epochs,
+        sum(size) OVER (PARTITION BY no ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT - size AS pos,
+        row_number() OVER () AS row_no
+      FROM sized d JOIN quotas q ON d.source IS NOT DISTINCT FROM q.source),
+    parts AS (
+      SELECT row_no, sum(greatest(least(pos + size, u.block * {size} + part) - greatest(pos, u.block * {size}), 0)) AS more
+      FROM (SELECT *, unnest(range(pos // {size}, (pos + size - 1) // {size} + 1)) AS block FROM placed WHERE size > 0) p
+      JOIN unfinished u ON p.no = u.no AND p.block = u.block GROUP BY row_no)
+    SELECT doc_id, size, total AS source_size, target, (epochs * size + coalesce(more, 0))::BIGINT AS taken
+    FROM placed LEFT JOIN parts USING (row_no)
+    """
+
+
+@query("op11_mixing", _mixing_sql())
+def mixing_query(spark: SparkSession, folder: str) -> DataFrame:
+    made = mixing.mix(read_table(spark, folder, "documents").select("doc_id", "text", "source"))
+    return mixing.taken_words(made).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def _crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of a text's UTF-8 bytes, bit by bit."""
+    octets = f"list_transform(range(0, strlen({text})), lambda k: ('0x' || hex(encode({text}))[2 * k + 1:2 * k + 2])::BIGINT)"
+    bits = f"flatten(list_transform({octets}, lambda b: [(b >> i) & 1 for i in range(0, 8)]))"
+    step = "xor(c >> 1, 3988292384 * (xor(c, b) & 1))"
+    return f"xor(4294967295, list_reduce({bits}, lambda c, b: {step}, 4294967295))"
+
+
+def _resampling_sql() -> str:
+    q = resampling
+    grams = " UNION ALL ".join(
+        f"SELECT kind, id, array_to_string(w[i:i + {n - 1}], ' ') AS f FROM texts, unnest(range(1, len(w) - {n} + 2)) AS t(i)"
+        f" WHERE len(w) >= {n}"
+        for n in range(1, q.LONGEST + 1)
+    )
+    return rf"""
+    WITH texts AS (
+      SELECT 'raw' AS kind, doc_id AS id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents
+      UNION ALL SELECT 'target', item_id, {_WORDS.format("coalesce(text, '')")} FROM benchmark),
+    features AS ({grams}),
+    hashed AS (SELECT f, {_crc32_sql("f")} % {q.BUCKETS} AS bucket FROM (SELECT DISTINCT f FROM features)),
+    held AS (SELECT kind, id, bucket, count(*) AS n FROM features JOIN hashed USING (f) GROUP BY ALL),
+    counts AS (
+      SELECT bucket, coalesce(sum(n) FILTER (kind = 'raw'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (kind = 'target'), 0)::DOUBLE AS t
+      FROM held GROUP BY bucket),
+    gains AS (
+      SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + {q.BUCKETS}) / ((s + 1) * (sum(t) OVER () + {q.BUCKETS}))))::BIGINT AS gain
+      FROM counts),
+    weights AS (
+      SELECT id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM held JOIN gains USING (bucket)
+      WHERE kind = 'raw' GROUP BY id),
+    scored AS (
+      SELECT t.id AS doc_id, len(w) >= {q.MIN_WORDS} AS enough, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{q.SEED}:' || t.id), 1, 8))::BIGINT + 0.5::DOUBLE)
+          / 4294967296::DOUBLE)))::BIGINT AS score
+      FROM texts t LEFT JOIN weights v ON t.id = v.id WHERE kind = 'raw'),
+    ranked AS (
+      SELECT *, row_number() OVER (ORDER BY enough DESC, score DESC, doc_id) AS place, {q.DRAW_PERCENT} * count(*) FILTER (enough) OVER () // 100 AS drawn
+      FROM scored)
+    SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM ranked
+    """
+
+
+@query("op12_resampling", _resampling_sql())
+def resampling_query(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    drawn = resampling.resample(docs, read_table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")

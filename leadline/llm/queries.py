@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadline.llm import (
@@ -17,6 +17,7 @@ from leadline.llm import (
     mixing,
     near_dedup,
     packing,
+    periodic_runs,
     quality,
     quality_rules,
     resampling,
@@ -429,3 +430,71 @@ def resampling_query(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
     drawn = resampling.resample(docs, read_table(spark, folder, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def _looped(text: Column, identity: Column) -> Column:
+    """The texts that op13 judges: of a tenth of the documents, the later words are a loop of their own."""
+    h = F.crc32(identity.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def loop(words: Column) -> Column:
+        n = F.size(words)
+        begin = (g % n).cast("int")
+        period = (1 + F.floor((n - begin) / (3 + g % 8))).cast("int")
+        rounds = F.ceil((n - begin) / period).cast("int")
+        tail = F.slice(F.flatten(F.array_repeat(F.slice(words, begin + 1, period), rounds)), F.lit(1), n - begin)
+        return F.when(n > 0, F.array_join(F.concat(F.slice(words, F.lit(1), begin), tail), " ")).otherwise("")
+
+    # Inside a lambda the words are split once, however often they are named.
+    words = F.array(F.regexp_extract_all(text, F.lit(WORD_1), F.lit(0)))
+    return F.when(h % 10 == 0, F.element_at(F.transform(words, loop), 1)).otherwise(text)
+
+
+def _periodic_runs_sql() -> str:
+    q = periodic_runs
+    width = q.least_lcp(q.MIN_LENGTH, q.MIN_PERIODS)
+    return rf"""
+    WITH split AS (
+      SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD_1}') AS w, {_crc32_sql("doc_id::VARCHAR")} AS h FROM documents),
+    looped AS (
+      SELECT *, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM split),
+    base AS (
+      SELECT doc_id, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, len(w)),
+        lambda i: w[CASE WHEN i >= a THEN a + (i - a) % (1 + (len(w) - a) // (3 + (h // 10) % 8)) ELSE i END + 1]) END AS w
+      FROM looped),
+    grams AS (
+      SELECT doc_id, len(w) AS n, i, array_to_string(w[i + 1:i + {width}], ' ') AS gram
+      FROM base, unnest(range(0, len(w) - {width} + 1)) AS t(i)),
+    pairs AS (
+      SELECT a.doc_id, a.i, b.i - a.i AS d FROM grams a JOIN grams b
+        ON a.doc_id = b.doc_id AND a.gram = b.gram AND a.i < b.i AND (b.i - a.i) * {q.MIN_PERIODS} <= a.n),
+    stretches AS (
+      SELECT doc_id, d, min(i) AS start, count(*) + {width - 1} + d AS length
+      FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, d ORDER BY i) AS part FROM pairs) GROUP BY doc_id, d, part),
+    periodic AS (
+      SELECT doc_id, start, length, d AS period FROM stretches WHERE length >= greatest({q.MIN_LENGTH}, {q.MIN_PERIODS} * d)),
+    runs AS (
+      SELECT * FROM periodic c WHERE NOT EXISTS (
+        SELECT 1 FROM periodic o WHERE o.doc_id = c.doc_id AND o.period < c.period AND o.start <= c.start
+          AND o.start + o.length >= c.start + c.length)),
+    listed AS (
+      SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+      FROM runs GROUP BY doc_id),
+    best AS (
+      SELECT * FROM runs QUALIFY row_number() OVER (
+        PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+    dropped AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+    kept AS (
+      SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.i) AS body
+      FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM base) t ANTI JOIN dropped d
+        ON t.doc_id = d.doc_id AND t.i = d.i GROUP BY t.doc_id)
+    SELECT b.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+      sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+    FROM base b LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """
+
+
+@query("op13_periodic_runs", _periodic_runs_sql())
+def periodic_runs_query(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", _looped(F.col("text"), F.col("doc_id")).alias("text"))
+    return periodic_runs.digests(periodic_runs.find_runs(docs))

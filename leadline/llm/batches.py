@@ -45,10 +45,11 @@ def map_texts(
     work: Callable[[pa.Array, pa.RecordBatch], dict[str, list | pa.Array]],
     keep: list[str] | None = None,
     as_bytes: bool = True,
+    limit: int = SLICE_BYTES,
 ) -> DataFrame:
     """``keep`` columns of ``df`` and the columns that ``work`` gives for its texts.
 
-    ``work`` gets the texts of a slice as an Arrow array, UTF-8 bytes or strings, and the slice
+    ``work`` gets the texts of a slice of about ``limit`` bytes as an Arrow array, UTF-8 bytes or strings, and the slice
     with the kept columns. It returns a column of equal length for each field. Columns of
     ``keep`` named like a field are replaced.
     """
@@ -61,7 +62,7 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, limit):
                 made = work(part.column(text), part)
                 columns = [part.column(c) for c in kept]
                 columns += [

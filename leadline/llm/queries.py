@@ -428,7 +428,7 @@ def _resampling_sql() -> str:
 @query("op12_resampling", _resampling_sql())
 def resampling_query(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
-    drawn = resampling.resample(docs, read_table(spark, folder, "benchmark"))
+    drawn = resampling.resample(docs, read_table(spark, folder, "benchmark"), keep=["doc_id"])
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 

@@ -27,12 +27,16 @@ from pyspark.sql import types as T
 from leadline.llm import batches
 from leadline.llm.columns import free_name
 from leadline.operators.ranking import global_rank
+from leadline.session import stage
 
 BUCKETS = 10_000
 LONGEST = 3
 SEED = 42
 MIN_WORDS = 20
 DRAW_PERCENT = 5
+# Bytes of text whose n-grams are worked on at once, unless one text is longer.
+SLICE_BYTES = 2 << 20
+_SPACE_CRC = zlib.crc32(b" ")
 # What separates words, once A-Z are lower-cased.
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -40,7 +44,8 @@ _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 class _Shift:
     """What a CRC-32 becomes when bytes follow: the CRC of AB is shift(crc of A, length of B) xor crc of B.
 
-    The shift is linear over bits. It is kept as tables of 4 x 256 words for 1, 2, 4, ... bytes.
+    The shift is linear over bits, so 4 x 256 words hold what it does to the bytes of a CRC. Tables of 1, 2, 4, ...
+    bytes are kept, and those of other lengths put together from them.
     """
 
     def __init__(self):
@@ -48,26 +53,27 @@ class _Shift:
         for _ in range(8):
             step = (step >> np.uint32(1)) ^ np.where(step & 1, np.uint32(0xEDB88320), np.uint32(0))
         ones = np.arange(256, dtype=np.uint32)
-        table = np.stack([ones << np.uint32(8 * k) for k in range(4)])
-        table = (table >> np.uint32(8)) ^ step[table & 255]
-        self.tables = [table]
+        self.nothing = np.stack([ones << np.uint32(8 * k) for k in range(4)])
+        self.powers = [(self.nothing >> np.uint32(8)) ^ step[self.nothing & 255]]
 
     @staticmethod
-    def _apply(table: np.ndarray, crc: np.ndarray) -> np.ndarray:
-        out = table[0][crc & 255]
+    def apply(tables: np.ndarray, crc: np.ndarray, kind: np.ndarray | int = 0) -> np.ndarray:
+        """``crc`` shifted by the table of its ``kind``, of several tables one behind the other."""
+        flat, at = tables.reshape(-1), np.asarray(kind) * 1024
+        out = flat[at + (crc & np.uint32(255))]
         for k in range(1, 4):
-            out ^= table[k][(crc >> np.uint32(8 * k)) & 255]
+            out ^= flat[at + 256 * k + ((crc >> np.uint32(8 * k)) & np.uint32(255))]
         return out
 
-    def __call__(self, crc: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        top = int(lengths.max(initial=0)).bit_length()
-        while len(self.tables) < top:
-            self.tables.append(self._apply(self.tables[-1], self.tables[-1]))
-        for k in range(top):
-            on = (lengths >> k) & 1 == 1
-            if on.any():
-                crc = np.where(on, self._apply(self.tables[k], crc), crc)
-        return crc
+    def of(self, length: int) -> np.ndarray:
+        table, k = self.nothing, 0
+        while length >> k:
+            if k == len(self.powers):
+                self.powers.append(self.apply(self.powers[-1], self.powers[-1]))
+            if length >> k & 1:
+                table = self.apply(self.powers[k], table)
+            k += 1
+        return table
 
 
 _SHIFT = _Shift()
@@ -94,11 +100,14 @@ def feature_buckets(
     coded = words.dictionary_encode()
     size = len(coded.dictionary)
     ids = coded.indices.to_numpy().astype(np.int64)
-    crcs = np.fromiter((zlib.crc32(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()), np.uint32, size)
+    different_words = coded.dictionary.cast(pa.binary()).to_pylist()
+    crcs = np.fromiter(map(zlib.crc32, different_words), np.uint32, size)
     yield np.arange(len(ids)), (crcs % np.uint32(buckets)).astype(np.int64)[ids]
-    # The CRC and length of " word", to go behind another n-gram.
-    spaced = np.fromiter((zlib.crc32(w, zlib.crc32(b" ")) for w in coded.dictionary.cast(pa.binary()).to_pylist()), np.uint32, size)
-    length = pc.binary_length(coded.dictionary).to_numpy().astype(np.int64) + 1
+    # " word" behind another n-gram: its own CRC, and the table of its length.
+    lengths, kind = np.unique(pc.binary_length(coded.dictionary).to_numpy() + 1, return_inverse=True)
+    tables = np.stack([_SHIFT.of(int(n)) for n in lengths]) if size else np.zeros((1, 4, 256), np.uint32)
+    kind = kind.astype(np.int64)
+    spaced = np.fromiter((zlib.crc32(w, _SPACE_CRC) for w in different_words), np.uint32, size)
     left = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(ids))  # words from here to the text's end
     grams, gram_crcs = ids, crcs
     first = np.arange(len(ids))
@@ -109,7 +118,7 @@ def feature_buckets(
         pairs = pa.array(before * size + ids[first + n - 1]).dictionary_encode()
         different = pairs.dictionary.to_numpy()
         head, tail = different // max(size, 1), different % max(size, 1)
-        gram_crcs = _SHIFT(gram_crcs[head], length[tail]) ^ spaced[tail]
+        gram_crcs = _SHIFT.apply(tables, gram_crcs[head], kind[tail]) ^ spaced[tail]
         grams = pairs.indices.to_numpy().astype(np.int64)
         yield first, (gram_crcs % np.uint32(buckets)).astype(np.int64)[grams]
 
@@ -121,7 +130,7 @@ def bucket_counts(df: DataFrame, text_col: str, buckets: int = BUCKETS, longest:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in parts:
-            for part in batches.slices(batch, "text"):
+            for part in batches.slices(batch, "text", SLICE_BYTES):
                 for _, found in feature_buckets(*words_of(part.column("text")), buckets, longest):
                     total += np.bincount(found, minlength=buckets)
         held = np.flatnonzero(total)
@@ -161,7 +170,7 @@ class Resampler:
             return {n_words: pa.array(np.diff(bounds)), n_features: pa.array(counts), weight: pa.array(weights)}
 
         fields = [T.StructField(c, T.LongType()) for c in (n_words, n_features, weight)]
-        return batches.map_texts(df, text_col, fields, work, keep, as_bytes=False)
+        return batches.map_texts(df, text_col, fields, work, keep, as_bytes=False, limit=SLICE_BYTES)
 
 
 def fit(
@@ -203,22 +212,26 @@ def resample(
     min_words: int = MIN_WORDS,
     draw_percent: int = DRAW_PERCENT,
     seed: int = SEED,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """``docs`` with n_words, n_features, weight, score and rank (1, 2, ... of the drawn rows, else null).
+    """``keep`` columns of ``docs`` (default: all but the text) with n_words, n_features, weight, score and rank
+    (1, 2, ... of the drawn rows, else null).
 
     Of the N rows with ``min_words`` words or more, floor(draw_percent * N / 100) are drawn: those
-    of the highest scores, ties to the smaller id. Ranks come from a range sort of ids and scores; texts are not moved.
+    of the highest scores, ties to the smaller id. Ranks come from a range sort of what is kept, so name the
+    text in ``keep`` only where it is needed.
 
     * Null, empty and wordless texts: no features, weight 0, never drawn.
     * A null id comes after all others of its score; rows that share an id share its noise.
     * An empty table gives an empty table; an empty target gives equal gains to equally frequent buckets.
-    * Other columns pass through; extra columns named like a result, whatever their case, are left out.
+    * Extra columns named like a result, whatever their case, are left out.
     """
     results = {"n_words", "n_features", "weight", "score", "rank"}
-    kept = [c for c in docs.columns if c.lower() not in results]
-    names = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, id_col, text_col])])
+    keep = [c for c in docs.columns if c != text_col] if keep is None else keep
+    keep = [c for c in dict.fromkeys([id_col, *keep]) if c.lower() not in results]
     model = fit(docs, target, text_col, target_col, buckets, longest)
-    weighed = model.weigh(names, text_col, keep=kept).withColumn("score", F.col("weight") + noise(F.col(id_col), seed))
+    # Staged: the range sort reads its input twice.
+    weighed = stage(model.weigh(docs, text_col, keep=keep)).withColumn("score", F.col("weight") + noise(F.col(id_col), seed))
     enough = F.col("n_words") >= min_words
     small = free_name(weighed, "small")
     ordered = global_rank(weighed.withColumn(small, ~enough), [F.asc(small), F.desc("score"), F.asc_nulls_last(id_col)], "rank")

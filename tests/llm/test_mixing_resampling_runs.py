@@ -211,7 +211,7 @@ def test_resampling_equals_brute_force(spark, docs):
         expected[r["doc_id"], len(lowered(r["text"])), len(found), weight, score] += 1
         if len(lowered(r["text"])) >= 20:
             scores.append((-score, r["doc_id"]))
-    got = resampling.resample(docs, target, draw_percent=40)
+    got = resampling.resample(docs, target, draw_percent=40, keep=docs.columns)
     assert {"text", "source", "taken"} <= set(got.columns) and "N_WORDS" not in got.columns
     got = got.collect()
     assert Counter((r["doc_id"], r["n_words"], r["n_features"], r["weight"], r["score"]) for r in got) == expected

@@ -36,34 +36,39 @@ SHARD_SLOTS = 4096
 SEED = 42
 # Rounds of the swap-or-not shuffle.
 ROUNDS = 16
+# Modulus of the hash inside the shuffle; products of two numbers below it fit a long.
+PRIME = (1 << 31) - 1
 # Documents per chunk of a source, about; it sets the work of a task and never changes the result.
-CHUNK_DOCS = 50_000
+CHUNK_DOCS = 5_000
 # Slots that one task draws.
 TASK_SLOTS = 1 << 20
 
 
-def hashed(*parts: Column) -> Column:
-    """A number below 2**60 from the MD5 of the parts, joined by colons."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("long")
+def round_keys(n: Column, key: Column, rounds: int = ROUNDS) -> Column:
+    """What ``permuted`` needs to know of a permutation of 0 .. n - 1, from the MD5 of its key and round."""
 
+    def one(r: Column) -> Column:
+        digest = F.md5(F.concat_ws(":", key, r))
+        k, a, b = (F.conv(F.substring(digest, at, size), 16, 10).cast("long") for at, size in ((1, 15), (16, 8), (24, 8)))
+        return F.struct(F.pmod(k, n).alias("k"), (F.pmod(a, F.lit(PRIME - 1)) + 1).alias("a"), F.pmod(b, F.lit(PRIME)).alias("b"))
 
-def permuted(x: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
-    """Where a pseudorandom permutation of 0 .. n - 1, chosen by ``key``, sends ``x``.
+    return F.when(n > 1, F.transform(F.sequence(F.lit(1), F.lit(rounds)), one))
 
-    A swap-or-not shuffle: in each round x and its partner K - x (mod n) change places or not, as a
-    bit of the pair says. It needs no table and no power of two, and holds for every n.
+
+def permuted(x: Column, n: Column, keys: Column) -> Column:
+    """Where the pseudorandom permutation of 0 .. n - 1 with these round keys sends ``x``.
+
+    A swap-or-not shuffle: in each round x and its partner k - x (mod n) change places or not, as a
+    pairwise independent hash of the pair says. It needs no table and no power of two, and holds for every n.
     """
-    steps = F.transform(
-        F.sequence(F.lit(1), F.lit(rounds)),
-        lambda r: F.struct(F.concat_ws(":", key, r).alias("key"), F.pmod(hashed(key, r), n).alias("k")),
-    )
 
     def swap(at: Column, step: Column) -> Column:
         partner = F.pmod(step["k"] - at, n)
-        pair = F.concat_ws(":", step["key"], F.greatest(at, partner))
-        return F.when(F.substring(F.md5(pair), 1, 1) >= "8", partner).otherwise(at)
+        pair = F.greatest(at, partner)
+        mixed = F.pmod(step["a"] * F.pmod(pair, F.lit(PRIME)) + step["b"] + F.floor(pair / F.lit(PRIME)), F.lit(PRIME))
+        return F.when(mixed * 2 > PRIME, partner).otherwise(at)
 
-    return F.when(n > 1, F.aggregate(steps, x, swap)).otherwise(x)
+    return F.when(n > 1, F.aggregate(keys, x, swap)).otherwise(x)
 
 
 @dataclass
@@ -152,16 +157,18 @@ def _drawn(spark, source: DataFrame, n_slots: int, n_sources: int, shard_slots:
     inside = own.orderBy("source_no").rowsBetween(W.unboundedPreceding, -1)
     numbered = numbered.withColumns(
         {"slot_first": F.coalesce(F.sum("n").over(inside), F.lit(0)), "in_shard": F.sum("n").over(own)}
-    )
+    ).withColumn("shard_keys", round_keys(F.col("in_shard"), F.concat_ws(":", F.lit(seed), F.lit("shard"), F.col("shard")), 8))
 
     # What each source drew against what its target needs.
     drawn = source.join(counts.groupBy("source_no").agg(F.sum("n").alias("drawn")), "source_no", "left").na.fill(0, ["drawn"])
     over = F.greatest(F.col("drawn") - F.col("slots"), F.lit(0))
     lack = F.greatest(F.col("slots") - F.col("drawn"), F.lit(0))
+    key = F.concat_ws(":", F.lit(seed), F.lit("settle"), F.col("source_no"))
     settled = stage(
         drawn.select(
             "source_no", "slots", "drawn", _before(over, "source_no").alias("over_first"),
             _before(lack, "source_no").alias("low"), lack.alias("lack"),
+            F.when(over > 0, round_keys(F.col("drawn"), key)).alias("settle_keys"),
         )
     )
     lacking = settled.select(
@@ -170,17 +177,20 @@ def _drawn(spark, source: DataFrame, n_slots: int, n_sources: int, shard_slots:
     )
     n_moved = settled.agg(F.sum("lack")).first()[0] or 0
 
-    slots = numbered.join(settled.select("source_no", "slots", "drawn", "over_first"), "source_no").withColumn(
-        "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
+    # A row of counts becomes up to shard_slots rows, so the few rows are first dealt out to tasks.
+    tasks = max(n_slots // TASK_SLOTS, spark.sparkContext.defaultParallelism)
+    slots = (
+        numbered.join(settled.select("source_no", "slots", "drawn", "over_first", "settle_keys"), "source_no")
+        .repartition(tasks, "shard", "source_no")
+        .withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     )
     draw_no = F.col("first") + F.col("k")
-    key = F.concat_ws(":", F.lit(seed), F.lit("settle"), F.col("source_no"))
     slots = slots.select(
         "shard",
         # The sources of a shard are mixed inside it.
-        permuted(F.col("slot_first") + F.col("k"), F.col("in_shard"), F.concat_ws(":", F.lit(seed), F.lit("shard"), F.col("shard")), 8).alias("slot"),
+        permuted(F.col("slot_first") + F.col("k"), F.col("in_shard"), F.col("shard_keys")).alias("slot"),
         "source_no", "slots", "over_first",
-        F.when(F.col("drawn") > F.col("slots"), permuted(draw_no, F.col("drawn"), key)).otherwise(draw_no).alias("n"),
+        F.when(F.col("drawn") > F.col("slots"), permuted(draw_no, F.col("drawn"), F.col("settle_keys"))).otherwise(draw_no).alias("n"),
     )
     kept = slots.where(F.col("n") < F.col("slots")).select("shard", "slot", "source_no", "n")
     if not n_moved:
@@ -249,13 +259,21 @@ def mix(
         nothing = cuts.withColumns({"shard": F.lit(0).cast("long"), "slot": F.lit(0).cast("long")}).limit(0)
         return Mix(documents, source, nothing)
 
-    slots = _drawn(spark, source, n_slots, n_sources, shard_slots, seed).join(
-        source.select("source_no", "size", "words", "blocks"), "source_no"
-    )
     # A source's last block may be short; it closes each epoch, so that the words before any slot are known.
-    slots = slots.withColumns({"epoch": F.expr("n div blocks"), "turn": F.expr("n % blocks")})
+    full = F.col("blocks") - 1
     key = F.concat_ws(":", F.lit(seed), F.lit("block"), F.col("source_no"), F.col("epoch"))
-    block = F.when(F.col("turn") == F.col("blocks") - 1, F.col("turn")).otherwise(permuted(F.col("turn"), F.col("blocks") - 1, key))
+    epochs = (
+        source.where("slots > 0")
+        .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(slots - 1) div blocks"))))
+        .select("source_no", "epoch", "size", "words", "blocks", round_keys(full, key).alias("block_keys"))
+    )
+    slots = (
+        _drawn(spark, source, n_slots, n_sources, shard_slots, seed)
+        .join(source.select("source_no", "blocks"), "source_no")
+        .select("shard", "slot", "source_no", F.expr("n div blocks").alias("epoch"), F.expr("n % blocks").alias("turn"))
+        .join(epochs, ["source_no", "epoch"])
+    )
+    block = F.when(F.col("turn") == full, F.col("turn")).otherwise(permuted(F.col("turn"), full, F.col("block_keys")))
     taken = F.least(F.lit(block_words), F.col("words") - F.col("epoch") * F.col("size") - F.col("turn") * block_words)
     slots = slots.select("shard", "slot", "source_no", block.alias("block"), taken.alias("taken"))
     pieces = slots.join(cuts, ["source_no", "block"]).where(F.col("at") < F.col("taken"))

@@ -324,12 +324,21 @@ def near_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
 
 def _permuted_sql(rows: str, x: str, n: str, key: str, name: str) -> str:
     """``rows`` with the column ``name``: ``mixing.permuted`` of x in 0 .. n - 1, one subquery per round."""
+    prime = mixing.PRIME
+
+    def digits(begin: int, size: int) -> str:
+        return f"('0x' || substr(digest_, {begin}, {size}))::BIGINT"
+
     sql = f"SELECT *, {x} AS cur, {n} AS n_, {key} AS key_ FROM {rows}"
     for r in range(1, mixing.ROUNDS + 1):
-        partner = f"((('0x' || substr(md5(key_ || ':{r}'), 1, 15))::BIGINT % n_ - cur) % n_ + n_) % n_"
-        sql = f"SELECT *, CASE WHEN n_ > 1 THEN {partner} ELSE cur END AS other FROM ({sql})"
-        swap = f"n_ > 1 AND substr(md5(key_ || ':{r}:' || greatest(cur, other)), 1, 1) >= '8'"
-        sql = f"SELECT * EXCLUDE (cur, other), CASE WHEN {swap} THEN other ELSE cur END AS cur FROM ({sql})"
+        sql = f"SELECT *, md5(key_ || ':{r}') AS digest_ FROM ({sql})"
+        sql = f"SELECT *, CASE WHEN n_ > 1 THEN (({digits(1, 15)} % n_ - cur) % n_ + n_) % n_ ELSE cur END AS other FROM ({sql})"
+        a, b, pair = f"({digits(16, 8)} % {prime - 1} + 1)", f"{digits(24, 8)} % {prime}", "greatest(cur, other)"
+        mixed = f"({a} * ({pair} % {prime}) + {b} + {pair} // {prime}) % {prime}"
+        sql = (
+            f"SELECT * EXCLUDE (cur, other, digest_), CASE WHEN n_ > 1 AND {mixed} * 2 > {prime} THEN other ELSE cur END AS cur"
+            f" FROM ({sql})"
+        )
     return f"SELECT * EXCLUDE (cur, n_, key_), cur AS {name} FROM ({sql})"
 
 

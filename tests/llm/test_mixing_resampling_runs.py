@@ -72,17 +72,19 @@ def shared_out(sizes, weights, share, most):
 def permuted_plain(x, n, key, rounds=mixing.ROUNDS):
     if n <= 1:
         return x
-    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    prime = mixing.PRIME
     for r in range(1, rounds + 1):
-        other = (int(md5(f"{key}:{r}")[:15], 16) - x) % n
-        if md5(f"{key}:{r}:{max(x, other)}")[0] >= "8":
+        digest = hashlib.md5(f"{key}:{r}".encode()).hexdigest()
+        other = (int(digest[:15], 16) - x) % n
+        a, b, pair = int(digest[15:23], 16) % (prime - 1) + 1, int(digest[23:31], 16) % prime, max(x, other)
+        if (a * (pair % prime) + b + pair // prime) % prime * 2 > prime:
             x = other
     return x
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 100])
 def test_permutation_meets_every_number_once(spark, n):
-    x = spark.range(n).select("id", mixing.permuted(F.col("id"), F.lit(n), F.lit("k")).alias("to")).collect()
+    x = spark.range(n).select("id", mixing.permuted(F.col("id"), F.lit(n), mixing.round_keys(F.lit(n), F.lit("k"))).alias("to")).collect()
     assert sorted(r["to"] for r in x) == list(range(n))
     assert all(r["to"] == permuted_plain(r["id"], n, "k") for r in x)
 

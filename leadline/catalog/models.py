@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from leadline.catalog.demand import ROLES as DEMAND_ROLES
 from leadline.catalog.demand import TEST_START
 from leadline.catalog.history import GRAINS, LAGS, TIE, WINDOWS
-from leadline.catalog.registry import query, with_lines
+from leadline.catalog.registry import query, rounded, with_lines
 from leadline.catalog.validation import _SPLIT
 from leadline.functions import dates
 from leadline.functions.labels import has_discount
@@ -19,6 +19,7 @@ from leadline.operators import metrics, models
 from leadline.operators.expanding_ols import expanding_least_squares
 from leadline.operators.features import INFREQUENT, Encoding, fit_encoding
 from leadline.operators.grain_history import add_daily_history, feature_names
+from leadline.operators.hist_boosting import BoostParams, fit_boosting
 from leadline.operators.split import date_split, share_split
 from leadline.plans import arrival, demand, walk_forward
 from leadline.session import stage
@@ -36,7 +37,10 @@ ORDER = ["order_ts", *LINE_KEY]
 
 
 def small(spec: models.ModelSpec) -> models.ModelSpec:
+    """MLlib trees cut in number and depth; histogram boosting runs in full, with its early stop."""
     p = spec.params
+    if spec.family == "hist_boosting":
+        return spec
     limits = {"trees": 16, "max_depth": 6, "iterations": 10}
     return models.with_params(spec, **{k: min(p[k], v) for k, v in limits.items() if k in p})
 
@@ -70,6 +74,65 @@ def arrival_forest_grid(spark, folder):
     return _arrival_scores(spark, folder, specs).orderBy("split", "mae")
 
 
+BOOSTED = ["quantity", "discount_rate", "order_month", "order_dayofweek", "line_no"]
+BOOST = BoostParams(iterations=3, rate=0.5, max_leaves=31, max_depth=3, min_leaf=50, l2=1.0)
+
+
+def _boosting_sql() -> str:
+    """The training itself in SQL: per level, gradients summed by node, feature and value, and the best cut of each node."""
+    p = BOOST
+    steps = [
+        ", raw AS (SELECT *, month(order_ts)::DOUBLE AS order_month, (isodow(order_ts) - 1)::DOUBLE AS order_dayofweek FROM sp)",
+        "rows AS MATERIALIZED (SELECT row_number() OVER () AS id, split, sales AS y, order_id, line_no AS line,"
+        + ", ".join(f"{f}::DOUBLE AS {f}" for f in BOOSTED)
+        + " FROM raw)",
+        "p0 AS MATERIALIZED (SELECT *, (SELECT avg(y) FROM rows WHERE split = 'train') AS p FROM rows)",
+    ]
+    for t in range(p.iterations):
+        steps.append(f"t{t}_0 AS MATERIALIZED (SELECT *, 0 AS node FROM p{t})")
+        for d in range(p.max_depth):
+            at = f"{t}_{d}"
+            cells = " UNION ALL ".join(
+                f"SELECT node, {k} AS f, {f} AS v, sum(p - y) AS g, count(*) AS n FROM t{at} WHERE split = 'train' GROUP BY node, {f}"
+                for k, f in enumerate(BOOSTED)
+            )
+            steps.append(
+                f"c{at} AS MATERIALIZED (SELECT *, sum(g) OVER w AS lg, sum(n) OVER w AS ln, sum(g) OVER (PARTITION BY node, f) AS ag,"
+                f" sum(n) OVER (PARTITION BY node, f) AS an FROM ({cells}) WINDOW w AS (PARTITION BY node, f ORDER BY v))"
+            )
+            # Gains within a billionth of each other count as equal, whatever the order of the sums.
+            steps.append(
+                f"b{at} AS MATERIALIZED (SELECT node, f, v FROM (SELECT *, lg * lg / (ln + {p.l2}) + (ag - lg) * (ag - lg) / (an - ln + {p.l2})"
+                f" - ag * ag / (an + {p.l2}) AS gain FROM c{at} WHERE ln >= {p.min_leaf} AND an - ln >= {p.min_leaf}) WHERE gain > 0"
+                " QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, v) = 1)"
+            )
+            value = "CASE b.f " + " ".join(f"WHEN {k} THEN {f}" for k, f in enumerate(BOOSTED)) + " END"
+            steps.append(
+                f"t{t}_{d + 1} AS MATERIALIZED (SELECT r.* EXCLUDE (node), CASE WHEN b.node IS NULL THEN r.node WHEN {value} <= b.v"
+                f" THEN 2 * r.node + 1 ELSE 2 * r.node + 2 END AS node FROM t{at} r LEFT JOIN b{at} b ON r.node = b.node)"
+            )
+        last = f"t{t}_{p.max_depth}"
+        steps.append(
+            f"l{t} AS MATERIALIZED (SELECT node, -{p.rate} * sum(p - y) / (count(*) + {p.l2}) AS step FROM {last} WHERE split = 'train' GROUP BY node)"
+        )
+        steps.append(f"p{t + 1} AS MATERIALIZED (SELECT r.* EXCLUDE (node, p), p + step AS p FROM {last} r JOIN l{t} ON r.node = l{t}.node)")
+    return _SPLIT + ", ".join(steps) + f" SELECT split, order_id, line AS line_no, round(y, 2) AS actual, round(p, 4) AS predicted FROM p{p.iterations}"
+
+
+@query("hist_boosting_predictions", with_lines(_boosting_sql()))
+def hist_boosting_predictions(spark, folder):
+    """Three rounds of histogram boosting on all train lines; the SQL trains the same trees by itself."""
+    lines = order_lines(spark, folder, ["sales", *ORDER]).withColumns(
+        {"order_month": F.month("order_ts"), "order_dayofweek": dates.weekday("order_ts")}
+    )
+    rows = share_split(stage(lines), ORDER)
+    model = fit_boosting(rows.filter(F.col("split") == "train"), BOOSTED, "sales", BOOST)
+    inputs = rows.select("split", "order_id", "sales", *BOOSTED)
+    return rounded(
+        model.predict(inputs).select("split", "order_id", "line_no", F.col("sales").alias("actual"), "predicted"), 4, actual=2
+    )
+
+
 def _history_forest():
     return small(models.forest_grid(CATEGORICAL, ARRIVAL_NUMBERS + arrival.HISTORY)[0])
 

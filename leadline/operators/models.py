@@ -13,11 +13,13 @@ from pyspark.ml.regression import (
     LinearRegression,
     RandomForestRegressor,
 )
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadline.functions import numbers
 from leadline.operators.features import Encoding, FittedEncoding, fit_encoding
+from leadline.operators.hist_boosting import BoostedTrees, BoostParams, fit_boosting
+from leadline.session import stage
 
 SEED = 42
 NORMAL_SOLVER_LIMIT = 4096
@@ -46,6 +48,28 @@ class FittedModel:
         return scored.select(*keep, F.lit(self.spec.name).alias("model"), value.alias("predicted"))
 
 
+@dataclass
+class FittedBoosting:
+    """Histogram boosting on ordinal codes and filled numbers."""
+
+    spec: ModelSpec
+    encoding: FittedEncoding
+    model: BoostedTrees
+
+    def predict(self, df: DataFrame, keep: Sequence[str | Column], clip: bool = True) -> DataFrame:
+        shown = [F.col(c) if isinstance(c, str) else c for c in keep]
+        scored = self.model.predict(_boosting_inputs(self.encoding, df, shown), "predicted")
+        value = numbers.clip_low(F.col("predicted")) if clip else F.col("predicted")
+        return scored.select("_kept.*", F.lit(self.spec.name).alias("model"), value.alias("predicted"))
+
+
+def _boosting_inputs(encoding: FittedEncoding, df: DataFrame, keep: Sequence[Column]) -> DataFrame:
+    """Kept columns in a struct, then one number per feature."""
+    coded = encoding.codes(df)
+    cells = [F.col(f"_o_{c}").alias(c) for c in encoding.spec.categorical] + [F.col(f"_m_{c}").alias(c) for c in encoding.spec.numeric]
+    return coded.select(F.struct(*keep).alias("_kept") if keep else F.lit(None).alias("_kept"), F.struct(*cells).alias("_f")).select("_kept", "_f.*")
+
+
 def _linear(width: int, **params) -> LinearRegression:
     solver = "normal" if width <= NORMAL_SOLVER_LIMIT and not params.get("elasticNetParam") else "l-bfgs"
     return LinearRegression(featuresCol="features", labelCol="_label", solver=solver, standardization=False, **params)
@@ -80,10 +104,15 @@ def _estimator(spec: ModelSpec, train: DataFrame, width: int):
     raise ValueError(f"unknown model family: {spec.family}")
 
 
-def fit_model(train: DataFrame, target: str, spec: ModelSpec, encoding: FittedEncoding | None = None) -> FittedModel:
+def fit_model(
+    train: DataFrame, target: str, spec: ModelSpec, encoding: FittedEncoding | None = None
+) -> FittedModel | FittedBoosting:
     """Fit one spec; pass ``encoding`` to share a fitted encoding between specs."""
     labelled = train.withColumn("_label", F.col(target).cast("double"))
     encoding = encoding or fit_encoding(labelled, spec.encoding)
+    if spec.family == "hist_boosting":
+        inputs = stage(_boosting_inputs(encoding, labelled, [F.col("_label")]).select("_kept._label", *encoding.slots))
+        return FittedBoosting(spec, encoding, fit_boosting(inputs, encoding.slots, "_label", BoostParams(**spec.params)))
     encoded = encoding.transform(labelled).select("_label", "features")
     model = _estimator(spec, labelled, len(encoding.slots)).fit(encoded)
     return FittedModel(spec, encoding, model)
@@ -150,7 +179,7 @@ def arrival_specs(categorical: Sequence[str], numeric: Sequence[str]) -> list[Mo
         ModelSpec("Lasso Regression", "lasso", wide, {"alpha": 0.0005, "max_iter": 5000}),
         ModelSpec("Random Forest", "forest", codes, {"trees": 120, "max_depth": 18, "min_leaf": 8}),
         ModelSpec("Extra Trees", "extra_trees", codes, {"trees": 160, "max_depth": 20, "min_leaf": 6}),
-        ModelSpec("Hist Gradient Boosting", "boosting", codes, {"iterations": 180, "rate": 0.08, "max_depth": 5, "max_bins": 255}),
+        ModelSpec("Hist Gradient Boosting", "hist_boosting", codes, {"iterations": 180, "rate": 0.08, "l2": 0.05, "patience": 10}),
         ModelSpec("Gradient Boosting", "boosting", codes, {"iterations": 140, "rate": 0.08, "max_depth": 4}),
     ]
 
@@ -172,7 +201,7 @@ def sales_specs(categorical: Sequence[str], numeric: Sequence[str], suffix: str
         ModelSpec("Lasso" + suffix, "lasso", scaled, {"alpha": 0.001, "max_iter": 10000}),
         ModelSpec("Decision Tree" + suffix, "tree", codes, {"max_depth": 16, "min_leaf": 20}),
         ModelSpec("Random Forest" + suffix, "forest", codes, {"trees": 120, "max_depth": 18, "min_leaf": 8}),
-        ModelSpec("Hist Gradient Boosting" + suffix, "boosting", codes, {"iterations": 260, "rate": 0.06, "max_depth": 5, "max_bins": 255}),
+        ModelSpec("Hist Gradient Boosting" + suffix, "hist_boosting", codes, {"iterations": 260, "rate": 0.06, "l2": 0.01, "patience": 10}),
     ]
 
 
@@ -184,7 +213,7 @@ def demand_specs(categorical: Sequence[str], numeric: Sequence[str]) -> list[Mod
         ModelSpec("Lasso", "lasso", wide, {"alpha": 0.001, "max_iter": 10000}),
         ModelSpec("Decision Tree", "tree", codes, {"max_depth": 18, "min_leaf": 10}),
         ModelSpec("Random Forest", "forest", codes, {"trees": 120, "max_depth": 30, "min_leaf": 5, "subset": "sqrt"}),
-        ModelSpec("Hist Gradient Boosting", "boosting", codes, {"iterations": 200, "rate": 0.06, "max_depth": 5, "max_bins": 255}),
+        ModelSpec("Hist Gradient Boosting", "hist_boosting", codes, {"iterations": 200, "rate": 0.06, "l2": 0.05, "patience": 10}),
     ]
 
 

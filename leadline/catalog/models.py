@@ -17,6 +17,7 @@ from leadline.functions import dates
 from leadline.functions.labels import has_discount
 from leadline.operators import metrics, models
 from leadline.operators.expanding_ols import expanding_least_squares
+from leadline.operators.extra_trees import ForestParams, fit_extra_trees
 from leadline.operators.features import INFREQUENT, Encoding, fit_encoding
 from leadline.operators.grain_history import add_daily_history, feature_names
 from leadline.operators.hist_boosting import BoostParams, fit_boosting
@@ -122,17 +123,73 @@ def _boosting_sql() -> str:
 @query("hist_boosting_predictions", with_lines(_boosting_sql()))
 def hist_boosting_predictions(spark, folder):
     """Three rounds of histogram boosting on all train lines; the SQL trains the same trees by itself."""
+    rows = _boosted_lines(spark, folder)
+    return _predicted_sales(fit_boosting(rows.filter(F.col("split") == "train"), BOOSTED, "sales", BOOST), rows)
+
+
+def _boosted_lines(spark, folder):
     lines = order_lines(spark, folder, ["sales", *ORDER]).withColumns(
         {"order_month": F.month("order_ts"), "order_dayofweek": dates.weekday("order_ts")}
     )
-    rows = share_split(stage(lines), ORDER)
-    model = fit_boosting(rows.filter(F.col("split") == "train"), BOOSTED, "sales", BOOST)
-    inputs = rows.select("split", "order_id", "sales", *BOOSTED)
-    return rounded(
-        model.predict(inputs).select("split", "order_id", "line_no", F.col("sales").alias("actual"), "predicted"), 4, actual=2
+    return share_split(stage(lines), ORDER)
+
+
+def _predicted_sales(model, rows):
+    scored = model.predict(rows.select("split", "order_id", "sales", *BOOSTED))
+    return rounded(scored.select("split", "order_id", "line_no", F.col("sales").alias("actual"), "predicted"), 4, actual=2)
+
+
+FOREST = ForestParams(trees=4, max_depth=4, min_leaf=60)
+
+
+def _forest_sql() -> str:
+    """Randomised trees in SQL: per level the ranges, the hashed draws between them, and the best feature of each node."""
+    p = FOREST
+    steps = [
+        ", raw AS (SELECT *, month(order_ts)::DOUBLE AS order_month, (isodow(order_ts) - 1)::DOUBLE AS order_dayofweek FROM sp)",
+        "t0 AS MATERIALIZED (SELECT tree, 0::BIGINT AS node, i AS id, split, sales AS y, order_id, line_no AS line, "
+        + ", ".join(f"{f}::DOUBLE AS {f}" for f in BOOSTED)
+        + f" FROM raw, range({p.trees}) AS g(tree))",
+    ]
+    for d in range(p.max_depth):
+        spans = " UNION ALL ".join(
+            f"SELECT tree, node, {k} AS f, min({f}) AS lo, max({f}) AS hi, count(*) AS n, sum(y) AS s, max(y) > min(y) AS open"
+            f" FROM t{d} WHERE split = 'train' GROUP BY tree, node"
+            for k, f in enumerate(BOOSTED)
+        )
+        draw = f"('0x' || substr(md5('{p.seed}:' || tree || ':' || node || ':' || f), 1, 13))::BIGINT / {1 << 52}::DOUBLE"
+        steps.append(f"c{d} AS MATERIALIZED (SELECT *, lo + {draw} * (hi - lo) AS cut FROM ({spans}) WHERE lo < hi AND open)")
+        sums = " UNION ALL ".join(
+            f"SELECT tree, node, {k} AS f, count(*) AS ln, sum(y) AS ls FROM t{d} r JOIN c{d} c USING (tree, node)"
+            f" WHERE f = {k} AND split = 'train' AND {f} <= cut GROUP BY tree, node"
+            for k, f in enumerate(BOOSTED)
+        )
+        steps.append(
+            f"b{d} AS MATERIALIZED (SELECT tree, node, f, cut FROM c{d} JOIN ({sums}) USING (tree, node, f)"
+            f" WHERE ln >= {p.min_leaf} AND n - ln >= {p.min_leaf} QUALIFY row_number() OVER ("
+            "PARTITION BY tree, node ORDER BY ls * ls / ln + (s - ls) * (s - ls) / (n - ln) DESC, f) = 1)"
+        )
+        value = "CASE b.f " + " ".join(f"WHEN {k} THEN {f}" for k, f in enumerate(BOOSTED)) + " END"
+        steps.append(
+            f"t{d + 1} AS MATERIALIZED (SELECT r.* EXCLUDE (node), CASE WHEN b.node IS NULL THEN r.node WHEN {value} <= b.cut"
+            f" THEN 2 * r.node + 1 ELSE 2 * r.node + 2 END AS node FROM t{d} r LEFT JOIN b{d} b ON r.tree = b.tree AND r.node = b.node)"
+        )
+    last = f"t{p.max_depth}"
+    return (
+        _SPLIT + ", ".join(steps) + f" SELECT split, order_id, line AS line_no, round(y, 2) AS actual, round(avg(mean), 4) AS predicted"
+        f" FROM {last} JOIN (SELECT tree, node, avg(y) AS mean FROM {last} WHERE split = 'train' GROUP BY tree, node) USING (tree, node)"
+        " GROUP BY id, split, order_id, line, y"
     )
 
 
+@query("extra_trees_predictions", with_lines(_forest_sql()))
+def extra_trees_predictions(spark, folder):
+    """Randomised trees on all train lines; the SQL grows the same trees from the same hashed draws."""
+    rows = _boosted_lines(spark, folder)
+    model = fit_extra_trees(rows.filter(F.col("split") == "train"), BOOSTED, "sales", FOREST)
+    return _predicted_sales(model, rows)
+
+
 def _history_forest():
     return small(models.forest_grid(CATEGORICAL, ARRIVAL_NUMBERS + arrival.HISTORY)[0])
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadline.functions import numbers
+from leadline.operators.extra_trees import ExtraTrees, ForestParams, fit_extra_trees
 from leadline.operators.features import Encoding, FittedEncoding, fit_encoding
 from leadline.operators.hist_boosting import BoostedTrees, BoostParams, fit_boosting
 from leadline.session import stage
@@ -49,21 +50,21 @@ class FittedModel:
 
 
 @dataclass
-class FittedBoosting:
-    """Histogram boosting on ordinal codes and filled numbers."""
+class FittedTrees:
+    """Histogram boosting or randomised trees on ordinal codes and filled numbers."""
 
     spec: ModelSpec
     encoding: FittedEncoding
-    model: BoostedTrees
+    model: BoostedTrees | ExtraTrees
 
     def predict(self, df: DataFrame, keep: Sequence[str | Column], clip: bool = True) -> DataFrame:
         shown = [F.col(c) if isinstance(c, str) else c for c in keep]
-        scored = self.model.predict(_boosting_inputs(self.encoding, df, shown), "predicted")
+        scored = self.model.predict(_tree_inputs(self.encoding, df, shown), "predicted")
         value = numbers.clip_low(F.col("predicted")) if clip else F.col("predicted")
         return scored.select("_kept.*", F.lit(self.spec.name).alias("model"), value.alias("predicted"))
 
 
-def _boosting_inputs(encoding: FittedEncoding, df: DataFrame, keep: Sequence[Column]) -> DataFrame:
+def _tree_inputs(encoding: FittedEncoding, df: DataFrame, keep: Sequence[Column]) -> DataFrame:
     """Kept columns in a struct, then one number per feature."""
     coded = encoding.codes(df)
     cells = [F.col(f"_o_{c}").alias(c) for c in encoding.spec.categorical] + [F.col(f"_m_{c}").alias(c) for c in encoding.spec.numeric]
@@ -96,9 +97,6 @@ def _estimator(spec: ModelSpec, train: DataFrame, width: int):
         return DecisionTreeRegressor(**trees)
     if spec.family == "forest":
         return RandomForestRegressor(**trees, numTrees=p["trees"], featureSubsetStrategy=p.get("subset", "all"))
-    if spec.family == "extra_trees":
-        # MLlib has no random thresholds; whole-sample trees on random feature thirds are the nearest form.
-        return RandomForestRegressor(**trees, numTrees=p["trees"], bootstrap=False, featureSubsetStrategy=p.get("subset", "onethird"))
     if spec.family == "boosting":
         return GBTRegressor(**trees, maxIter=p["iterations"], stepSize=p["rate"])
     raise ValueError(f"unknown model family: {spec.family}")
@@ -106,13 +104,18 @@ def _estimator(spec: ModelSpec, train: DataFrame, width: int):
 
 def fit_model(
     train: DataFrame, target: str, spec: ModelSpec, encoding: FittedEncoding | None = None
-) -> FittedModel | FittedBoosting:
+) -> FittedModel | FittedTrees:
     """Fit one spec; pass ``encoding`` to share a fitted encoding between specs."""
     labelled = train.withColumn("_label", F.col(target).cast("double"))
     encoding = encoding or fit_encoding(labelled, spec.encoding)
-    if spec.family == "hist_boosting":
-        inputs = stage(_boosting_inputs(encoding, labelled, [F.col("_label")]).select("_kept._label", *encoding.slots))
-        return FittedBoosting(spec, encoding, fit_boosting(inputs, encoding.slots, "_label", BoostParams(**spec.params)))
+    if spec.family in ("hist_boosting", "extra_trees"):
+        inputs = stage(_tree_inputs(encoding, labelled, [F.col("_label")]).select("_kept._label", *encoding.slots))
+        if spec.family == "hist_boosting":
+            grown = fit_boosting(inputs, encoding.slots, "_label", BoostParams(**spec.params))
+        else:
+            p = spec.params
+            grown = fit_extra_trees(inputs, encoding.slots, "_label", ForestParams(p["trees"], p["max_depth"], p["min_leaf"], SEED))
+        return FittedTrees(spec, encoding, grown)
     encoded = encoding.transform(labelled).select("_label", "features")
     model = _estimator(spec, labelled, len(encoding.slots)).fit(encoded)
     return FittedModel(spec, encoding, model)
@@ -140,7 +143,11 @@ def fit_and_score(rows: DataFrame, target: str, specs: Sequence[ModelSpec], keep
 
 def tree_importance(fitted: FittedModel) -> DataFrame:
     """Importance per feature, largest first."""
-    weights = fitted.model.featureImportances.toArray().tolist()
+    if isinstance(fitted, FittedTrees):
+        found = fitted.model.importance() if isinstance(fitted.model, ExtraTrees) else fitted.model.gains()
+        weights = [found[slot] for slot in fitted.encoding.slots]
+    else:
+        weights = fitted.model.featureImportances.toArray().tolist()
     rows = [(fitted.spec.name, slot, float(w)) for slot, w in zip(fitted.encoding.slots, weights)]
     table = SparkSession.active().createDataFrame(rows, "model string, feature string, importance double")
     return table.orderBy(F.desc("importance"), "feature")

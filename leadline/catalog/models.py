@@ -233,14 +233,14 @@ def _sales_lines(spark, folder):
 
 @query("sales_model_scores")
 def sales_model_scores(spark, folder):
-    rows = stage(share_split(_sales_lines(spark, folder), ORDER))
+    rows = share_split(stage(_sales_lines(spark, folder)), ORDER)
     pred, _ = models.fit_and_score(rows, "sales", [small(s) for s in models.sales_specs(SALES_TEXT, SALES_NUMBERS)], ["order_id"])
     return metrics.evaluate(stage(pred), ["model", "split"])
 
 
 @query("sales_model_coefficients")
 def sales_model_coefficients(spark, folder):
-    rows = stage(share_split(_sales_lines(spark, folder), ORDER))
+    rows = share_split(stage(_sales_lines(spark, folder)), ORDER)
     spec = models.sales_specs(SALES_TEXT, SALES_NUMBERS)[0]
     _, fitted = models.fit_and_score(rows, "sales", [spec], ["order_id"])
     return models.coefficient_table(fitted[spec.name])
@@ -250,7 +250,7 @@ def sales_model_coefficients(spark, folder):
 def sales_history_model_scores(spark, folder):
     grains = list(GRAINS.values())
     lines = add_daily_history(stage(_sales_lines(spark, folder)), grains, "order_date", "sales", LAGS, WINDOWS)
-    rows = stage(share_split(stage(lines), ORDER))
+    rows = share_split(stage(lines), ORDER)
     numbers = SALES_NUMBERS + feature_names(grains, LAGS, WINDOWS)
     specs = [small(s) for s in models.sales_specs(SALES_TEXT, numbers, " with lags") if s.family in ("linear", "tree")]
     pred, _ = models.fit_and_score(rows, "sales", specs, ["order_id"])
@@ -334,7 +334,7 @@ _TRAIN_CITY = _SPLIT + ", tc AS (SELECT {c} AS v, count(*) AS k FROM sp WHERE sp
 def encode_ordinal(spark, folder):
     """Alphabetical codes learnt on the train rows; categories they lack become -1."""
     lines = order_lines(spark, folder, ORDER).withColumn("category", (F.col("part_id") % 700).cast("string"))
-    rows = stage(share_split(lines, ORDER))
+    rows = share_split(stage(lines), ORDER)
     fitted = fit_encoding(rows.filter(F.col("split") == "train"), Encoding(("category",), ("quantity",), "ordinal"))
     coded = fitted.codes(rows)
     return coded.groupBy("category", F.col("_o_category").alias("code")).agg(F.count(F.lit(1)).alias("n"))
@@ -351,7 +351,7 @@ def encode_ordinal(spark, folder):
 def encode_pooled(spark, folder):
     """Parts with under 20 train rows share one label."""
     lines = order_lines(spark, folder, ORDER).withColumn("label", F.col("part_id").cast("string"))
-    rows = stage(share_split(lines, ORDER))
+    rows = share_split(stage(lines), ORDER)
     fitted = fit_encoding(rows.filter(F.col("split") == "train"), Encoding(("label",), ("quantity",), "onehot"))
     pooled = fitted.prepare(rows)
     return pooled.groupBy(F.col("_c_label").alias("label"), "split").agg(F.count(F.lit(1)).alias("n"))

@@ -16,10 +16,11 @@ from leadline.sources.tables import LINE_KEY, order_lines, read_table, web_event
 MEASURES = ["order_id", "sales", "quantity", "discount_rate"]
 _SALES_BY = (
     "SELECT '{name}' AS feature, coalesce(CAST({expr} AS VARCHAR), 'Sin dato') AS value, round(sum(sales), 2) AS sales,"
-    " count(DISTINCT order_id) AS orders, count(*) AS rows, round(avg(sales) + 3e-7, 4) AS avg_sale, round(avg(quantity), 4) AS avg_quantity,"
-    " round(avg(discount_rate), 6) AS avg_discount_rate, round(sum(sales) / (SELECT sum(sales) FROM lines), 6) AS sales_share"
+    " count(DISTINCT order_id) AS orders, count(*) AS rows, round(avg(sales) + 3e-7, 4) AS avg_sale, round(avg(quantity) + 3e-7, 4) AS avg_quantity,"
+    " round(avg(discount_rate) + 3e-7, 6) AS avg_discount_rate, round(sum(sales) / (SELECT sum(sales) FROM lines), 6) AS sales_share"
     " FROM lines GROUP BY {expr}"
 )
+MEANS = ["avg_sale", "avg_quantity", "avg_discount_rate"]
 DIGITS = {"sales": 2, "avg_sale": 4, "avg_quantity": 4}
 
 # dimension -> (SQL expression, top-n of the report)
@@ -40,7 +41,7 @@ def _register(name, expr, n):
     @query(f"sales_by_{name}", _sql(name, expr, n))
     def run(spark, folder):
         lines = order_lines(spark, folder, [*MEASURES, name])
-        return rounded(sales.sales_by(lines, name, n), off_tie=["avg_sale"], **DIGITS)
+        return rounded(sales.sales_by(lines, name, n), off_tie=MEANS, **DIGITS)
 
 
 for _name, (_expr, _n) in PLAIN.items():
@@ -78,7 +79,7 @@ def _register_derived(name, expr, order):
     @query(f"sales_by_{name}", _sql(name, expr))
     def run(spark, folder):
         lines = order_lines(spark, folder, [*MEASURES, "order_ts", "discount", "profit_ratio"])
-        return rounded(sales.sales_by(sales.add_sales_calendar(lines), name, value_order=order), off_tie=["avg_sale"], **DIGITS)
+        return rounded(sales.sales_by(sales.add_sales_calendar(lines), name, value_order=order), off_tie=MEANS, **DIGITS)
 
 
 for _name, (_expr, _order) in DERIVED.items():
@@ -97,7 +98,7 @@ def _band_sql(name, value, names, source):
 @query("sales_by_product_price_bin", with_lines(_band_sql("product_price_bin", "price", sales.labels.PRICE_BANDS, "lines")))
 def sales_by_price_band(spark, folder):
     lines = order_lines(spark, folder, [*MEASURES, "price", *LINE_KEY])
-    return rounded(sales.sales_by(sales.add_price_band(lines, LINE_KEY), "product_price_bin"), off_tie=["avg_sale"], **DIGITS)
+    return rounded(sales.sales_by(sales.add_price_band(lines, LINE_KEY), "product_price_bin"), off_tie=MEANS, **DIGITS)
 
 
 @query(
@@ -113,7 +114,7 @@ def sales_by_price_band(spark, folder):
 def sales_by_customer_band(spark, folder):
     lines = order_lines(spark, folder, [*MEASURES, "customer_id", *LINE_KEY])
     banded = sales.add_customer_band(stage(sales.add_customer_total(lines)), LINE_KEY)
-    return rounded(sales.sales_by(banded, "customer_value_band"), off_tie=["avg_sale"], **DIGITS)
+    return rounded(sales.sales_by(banded, "customer_value_band"), off_tie=MEANS, **DIGITS)
 
 
 @query(
@@ -129,13 +130,46 @@ def price_first_come_rank(spark, folder):
     return global_rank(lines, ["price", *LINE_KEY], "price_rank", null_rank=False)
 
 
-STACKED = ["market", "segment", "category", "payment_type", "shipping_mode"]
+# Reports of the stacked table beside PLAIN and DERIVED: name -> (column, SQL expression, top-n). The tables know
+# one place per customer, which stands for the order's place and the customer's.
+_OTHER = {
+    "order_region": ("market", "market", 15), "customer_country": ("country", "country", 15), "customer_city": ("city", "city", 20),
+    "product_price_bin": ("product_price_bin", "price_band", None), "customer_value_band": ("customer_value_band", "customer_band", None),
+}
+STACKED = {
+    **{name: (name, expr, n) for name, (expr, n) in PLAIN.items()},
+    **{name: (name, expr, None) for name, (expr, _) in DERIVED.items() if name != "order_quarter"},
+    **_OTHER,
+}
+
+
+def _stacked_sql():
+    def band(rank, names):
+        cases = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names, start=1))
+        return f"CASE greatest(1, CAST(ceil(5 * ({rank} - 1)::DOUBLE / (n - 1)) AS INTEGER)) {cases} END"
+
+    reports = []
+    for name, (_, expr, n) in STACKED.items():
+        body = _SALES_BY.format(name=name, expr=expr).replace("FROM lines GROUP", "FROM banded GROUP")
+        reports.append(f"(SELECT * FROM ({body} ORDER BY sum(sales) DESC, {expr} LIMIT {n}))" if n else body)
+    return with_lines(
+        ", totalled AS (SELECT l.*, round(t, 5) AS total FROM lines l JOIN (SELECT customer_id, sum(sales) AS t FROM lines GROUP BY 1) c"
+        " ON l.customer_id = c.customer_id),"
+        f" ranked AS (SELECT *, row_number() OVER (ORDER BY price, {LINE_KEY_SQL}) AS by_price,"
+        f" row_number() OVER (ORDER BY total, {LINE_KEY_SQL}) AS by_total, count(*) OVER () AS n FROM totalled),"
+        f" banded AS MATERIALIZED (SELECT *, {band('by_price', sales.labels.PRICE_BANDS)} AS price_band,"
+        f" {band('by_total', sales.labels.CUSTOMER_BANDS)} AS customer_band FROM ranked) " + " UNION ALL ".join(reports)
+    )
 
 
-@query("sales_report_stacked", with_lines(" UNION ALL ".join(_SALES_BY.format(name=c, expr=c) for c in STACKED)))
+@query("sales_report_stacked", _stacked_sql())
 def sales_report_stacked(spark, folder):
-    lines = order_lines(spark, folder, [*MEASURES, *STACKED])
-    return rounded(sales.sales_report(lines, {c: None for c in STACKED}), off_tie=["avg_sale"], **DIGITS)
+    """All 27 sales reports; the lines are joined and staged once and expanded in one pass."""
+    roles = [*MEASURES, *PLAIN, "order_ts", "discount", "profit_ratio", "price", "customer_id", *LINE_KEY]
+    lines = stage(sales.add_customer_total(stage(sales.add_sales_calendar(order_lines(spark, folder, roles)))))
+    banded = sales.add_customer_band(sales.add_price_band(lines, LINE_KEY), LINE_KEY)
+    report = sales.sales_report(banded, {name: (column, n) for name, (column, _, n) in STACKED.items()})
+    return rounded(report, off_tie=MEANS, **DIGITS)
 
 
 @query(

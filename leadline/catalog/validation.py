@@ -30,7 +30,7 @@ _SPLIT = (
     ),
 )
 def split_by_share(spark, folder):
-    rows = share_split(order_lines(spark, folder, ORDER), ORDER)
+    rows = share_split(stage(order_lines(spark, folder, ORDER)), ORDER)
     out = rows.groupBy("split").agg(
         F.count(F.lit(1)).alias("n"), F.min("order_ts").alias("first_ts"), F.max("order_ts").alias("last_ts"), F.sum("sales").alias("sales")
     )
@@ -54,7 +54,7 @@ _SALES_RULES = _SPLIT + (
 
 
 def sales_rules(spark, folder):
-    rows = stage(share_split(order_lines(spark, folder, [*ORDER, "product"]), ORDER))
+    rows = share_split(stage(order_lines(spark, folder, [*ORDER, "product"])), ORDER)
     train = rows.filter(F.col("split") == "train")
     wide = lookup_mean(rows, train, "product", "sales", walk_forward.PRODUCT_RULE)
     wide = wide.withColumn(walk_forward.GLOBAL_RULE, train.agg(F.avg("sales")).scalar()).withColumn("actual", F.col("sales"))
@@ -222,7 +222,7 @@ _DAYS = (
 
 def arrival_wide(spark, folder):
     rows = arrival.arrival_rows(history_lines(spark, folder))
-    rows = stage(share_split(arrival.with_mode_history(rows, TIE), ORDER))
+    rows = stage(arrival.with_mode_history(share_split(rows, ORDER), TIE))
     return arrival.arrival_rules(rows, ["order_id", "line_no", "shipping_mode"])
 
 

@@ -15,6 +15,8 @@ CHECKED = [
     "promise_recommendation", "promise_calibration", "delay_crosstab", "profile_cardinality", "profile_top_values", "clean_durations",
     "price_bands", "sales_by_country", "sales_versus_views", "arrival_history_on_lines", "sales_history_product", "demand_history_avg_price",
     "demand_rule_scores", "walk_forward_scores", "frozen_stable_months", "split_by_share", "encode_pooled",
+    "price_first_come_rank", "sales_report_stacked", "events_last_click", "events_lookback", "hist_boosting_predictions",
+    "extra_trees_predictions",
 ]
 
 

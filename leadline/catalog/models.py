@@ -16,6 +16,7 @@ from leadline.catalog.validation import _SPLIT
 from leadline.functions import dates
 from leadline.functions.labels import has_discount
 from leadline.operators import metrics, models
+from leadline.operators.cross_products import optimality_gaps
 from leadline.operators.expanding_ols import expanding_least_squares
 from leadline.operators.extra_trees import ForestParams, fit_extra_trees
 from leadline.operators.features import INFREQUENT, Encoding, fit_encoding
@@ -24,6 +25,7 @@ from leadline.operators.hist_boosting import BoostParams, fit_boosting
 from leadline.operators.split import date_split, share_split
 from leadline.plans import arrival, demand, walk_forward
 from leadline.session import stage
+from leadline.sources.sinks import stack
 from leadline.sources.tables import LINE_KEY, order_lines
 
 CATEGORICAL = ["shipping_mode", "country", "city", "market", "segment", "category", "department", "product", "payment_type"]
@@ -317,6 +319,60 @@ def frozen_model_scores(spark, folder):
     return walk_forward.month_scores(stage(pred), "month")
 
 
+# --- optimality of the linear fits ------------------------------------------------------
+
+FIT_TEXT, FIT_NUMBERS = ["shipping_mode", "country", "product"], ["quantity", "discount_rate", "order_month"]
+
+
+def _optimality_sql() -> str:
+    """Every slot of the encoding with its train rows; a fit is optimal if no slot has a gap."""
+    sql = _SPLIT + ", train AS (SELECT * FROM sp WHERE split = 'train')"
+    slots = [f"SELECT '{c}' AS feature, count(*) AS rows FROM train" for c in FIT_NUMBERS]
+    for c in FIT_TEXT:
+        slots.append(
+            f"SELECT '{c}=' || CASE WHEN k < 20 THEN '{INFREQUENT}' ELSE v END AS feature, sum(k)::BIGINT AS rows"
+            f" FROM (SELECT {c} AS v, count(*) AS k FROM train GROUP BY 1) GROUP BY 1"
+        )
+    models_ = ", ".join(f"('{name}')" for name in ("Linear Regression", "Ridge Regression", "Lasso Regression"))
+    return sql + f" SELECT model, feature, rows, 0.0::DOUBLE AS gap FROM (VALUES {models_}) AS m(model), ({' UNION ALL '.join(slots)})"
+
+
+@query("linear_fit_optimality", with_lines(_optimality_sql()))
+def linear_fit_optimality(spark, folder):
+    """How far linear, ridge and lasso fits of the delivery time are from their optimum, slot by slot: nowhere."""
+    roles = [*FIT_TEXT, "discount_rate", "actual_days", *ORDER]
+    lines = order_lines(spark, folder, roles).withColumn("order_month", F.month("order_ts"))
+    train = share_split(stage(lines), ORDER).filter(F.col("split") == "train")
+    out, encodings, sums = [], {}, {}
+    for spec in models.arrival_specs(FIT_TEXT, FIT_NUMBERS):
+        if spec.family in ("linear", "ridge", "lasso"):
+            encodings.setdefault(spec.encoding, fit_encoding(train, spec.encoding))
+            fitted = models.fit_model(train, "actual_days", spec, encodings[spec.encoding], sums)
+            # Rounded to a millionth of a day; no negative zeros.
+            gaps = optimality_gaps(fitted.model, train, "actual_days").withColumn("gap", F.round("gap", 6) + F.lit(0.0))
+            out.append(gaps.select(F.lit(spec.name).alias("model"), "feature", "rows", "gap"))
+    return stack(out)
+
+
+@query(
+    "encode_medians",
+    with_lines(
+        _SPLIT + " SELECT 'quantity' AS feature, median(quantity)::DOUBLE AS fill, 0::BIGINT AS filled FROM sp WHERE split = 'train'"
+        " UNION ALL SELECT 'discount', median(CASE WHEN discount_rate > 0.03 THEN discount_rate END),"
+        " count(*) FILTER (discount_rate <= 0.03) FROM sp WHERE split = 'train'"
+        " UNION ALL SELECT 'price', median(price), count(*) FILTER (price IS NULL) FROM sp WHERE split = 'train'"
+    ),
+)
+def encode_medians(spark, folder):
+    """What nulls of the train rows are filled with, and how many there are."""
+    lines = order_lines(spark, folder, ["price", *ORDER]).withColumn("discount", F.when(F.col("discount_rate") > 0.03, F.col("discount_rate")))
+    names = ["quantity", "discount", "price"]
+    train = share_split(stage(lines), ORDER).filter(F.col("split") == "train")
+    fills = fit_encoding(train, Encoding((), tuple(names), "ordinal")).medians
+    empty = train.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in names]).first()
+    return spark.createDataFrame([(c, fills[c], empty[c]) for c in names], "feature string, fill double, filled long")
+
+
 # --- what the encodings learn ----------------------------------------------------------
 
 _TRAIN_CITY = _SPLIT + ", tc AS (SELECT {c} AS v, count(*) AS k FROM sp WHERE split = 'train' GROUP BY 1)"

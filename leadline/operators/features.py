@@ -6,10 +6,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadline.operators.order_stats import DISTINCT_LIMIT, exact_quantiles
 from leadline.operators.profile import value_counts
 
 INFREQUENT = "__infrequent__"
@@ -40,16 +41,36 @@ class FittedEncoding:
     rare: dict[str, list[str]]
     stages: PipelineModel
     slots: list[str] = field(default_factory=list)
+    medians: dict[str, float] = field(default_factory=dict)
 
     def prepare(self, df: DataFrame) -> DataFrame:
-        """Filled and pooled text columns ``_c_<name>``, numbers ``_n_<name>``."""
-        return _prepare(df, self.spec, self.fill, self.rare)
+        """Filled and pooled text columns ``_c_<name>``, numbers ``_m_<name>`` with the median for nulls and NaN."""
+        return _prepare(df, self.spec, self.fill, self.rare, self.medians)
 
     def transform(self, df: DataFrame) -> DataFrame:
         return self.stages.transform(self.prepare(df))
 
 
-def _prepare(df: DataFrame, spec: Encoding, fill: dict[str, str], rare: dict[str, list[str]]) -> DataFrame:
+def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Median per column, nulls and NaN left out; 0 for a column without a number.
+
+    One aggregation for all columns of at most ``DISTINCT_LIMIT`` distinct values; others are searched one by one.
+    """
+    if not columns:
+        return {}
+    values = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)).alias(f"v{k}") for k, c in enumerate(columns)])
+    sizes = values.agg(*[F.approx_count_distinct(f"v{k}") for k in range(len(columns))]).first()
+    small = [k for k, n in enumerate(sizes) if n <= DISTINCT_LIMIT]
+    found = dict(zip(small, values.agg(F.lit(0), *[F.percentile(f"v{k}", F.lit(0.5)) for k in small]).first()[1:]))
+    for k in range(len(columns)):
+        if k not in found:
+            found[k] = exact_quantiles(values, [], f"v{k}", {"m": 0.5}).first()["m"]
+    return {c: found[k] or 0.0 for k, c in enumerate(columns)}
+
+
+def _prepare(
+    df: DataFrame, spec: Encoding, fill: dict[str, str], rare: dict[str, list[str]], medians: dict[str, float]
+) -> DataFrame:
     out = {}
     for c in spec.categorical:
         text = F.coalesce(F.col(c).cast("string"), F.lit(fill.get(c, INFREQUENT)))
@@ -57,7 +78,7 @@ def _prepare(df: DataFrame, spec: Encoding, fill: dict[str, str], rare: dict[str
             text = F.when(text.isin(rare[c]), INFREQUENT).otherwise(text)
         out[f"_c_{c}"] = text
     for c in spec.numeric:
-        out[f"_n_{c}"] = F.col(c).cast("double")
+        out[f"_m_{c}"] = F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(float(medians[c])))
     return df.withColumns(out)
 
 
@@ -135,10 +156,9 @@ def fit_encoding(train: DataFrame, spec: Encoding) -> FittedEncoding:
             labels[c] = known
         labels[c] = labels[c] or [INFREQUENT]
 
-    imputers = [Imputer(strategy="median", relativeError=1e-3, inputCols=[f"_n_{c}" for c in numeric],
-                        outputCols=[f"_m_{c}" for c in numeric])] if numeric else []
+    medians = exact_medians(train, numeric)
     numeric_out = [f"_m_{c}" for c in numeric]
-    prepared = _prepare(train, spec, fill, rare)
+    prepared = _prepare(train, spec, fill, rare, medians)
 
     def vector_stages(inputs: list[str]) -> list:
         raw = "features" if spec.scale is None else "_raw"
@@ -148,23 +168,23 @@ def fit_encoding(train: DataFrame, spec: Encoding) -> FittedEncoding:
         return stages
 
     if spec.kind == "ordinal":
-        head = Pipeline(stages=_index_models(labels, categorical) + imputers).fit(prepared)
+        head = Pipeline(stages=_index_models(labels, categorical)).fit(prepared)
         code = _OrdinalCode(categorical, {c: len(labels[c]) for c in categorical})
         tail = Pipeline(stages=vector_stages([f"_o_{c}" for c in categorical] + numeric_out)).fit(
             code.apply(head.transform(prepared))
         )
-        return _FittedOrdinal(spec, fill, {}, head, categorical + numeric, code, tail)
+        return _FittedOrdinal(spec, fill, {}, head, categorical + numeric, medians, code, tail)
 
     # The last slot of a column is its "unknown" index: kept as the pool, or dropped to zeros.
     encoder = OneHotEncoder(
         inputCols=[f"_i_{c}" for c in categorical], outputCols=[f"_h_{c}" for c in categorical],
         dropLast=not spec.unknown_to_pool, handleInvalid="error",
     )
-    stages = [*_index_models(labels, categorical), *([encoder] if categorical else []), *imputers]
+    stages = [*_index_models(labels, categorical), *([encoder] if categorical else [])]
     stages += _onehot_vector(categorical, numeric, numeric_out, spec.scale)
     fitted = Pipeline(stages=stages).fit(prepared)
     slots = [f"{c}={v}" for c in categorical for v in labels[c] + ([INFREQUENT] if spec.unknown_to_pool else [])] + numeric
-    return FittedEncoding(spec, fill, rare, fitted, slots)
+    return FittedEncoding(spec, fill, rare, fitted, slots, medians)
 
 
 def _onehot_vector(categorical: list[str], numeric: list[str], numeric_out: list[str], scale: str | None) -> list:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadline.functions import numbers
+from leadline.operators.cross_products import MAX_SLOTS, LinearFit, Sums, cross_products, solve
 from leadline.operators.extra_trees import ExtraTrees, ForestParams, fit_extra_trees
 from leadline.operators.features import Encoding, FittedEncoding, fit_encoding
 from leadline.operators.hist_boosting import BoostedTrees, BoostParams, fit_boosting
@@ -49,6 +50,19 @@ class FittedModel:
         return scored.select(*keep, F.lit(self.spec.name).alias("model"), value.alias("predicted"))
 
 
+@dataclass
+class FittedLinear:
+    """Linear, ridge or lasso regression solved from cross products."""
+
+    spec: ModelSpec
+    encoding: FittedEncoding
+    model: LinearFit
+
+    def predict(self, df: DataFrame, keep: Sequence[str | Column], clip: bool = True) -> DataFrame:
+        scored = self.model.predict(df, [F.col(c) if isinstance(c, str) else c for c in keep], clip)
+        return scored.select(*scored.columns[:-1], F.lit(self.spec.name).alias("model"), "predicted")
+
+
 @dataclass
 class FittedTrees:
     """Histogram boosting or randomised trees on ordinal codes and filled numbers."""
@@ -103,11 +117,17 @@ def _estimator(spec: ModelSpec, train: DataFrame, width: int):
 
 
 def fit_model(
-    train: DataFrame, target: str, spec: ModelSpec, encoding: FittedEncoding | None = None
-) -> FittedModel | FittedTrees:
-    """Fit one spec; pass ``encoding`` to share a fitted encoding between specs."""
+    train: DataFrame, target: str, spec: ModelSpec, encoding: FittedEncoding | None = None, sums: dict[Encoding, Sums] | None = None
+) -> FittedModel | FittedLinear | FittedTrees:
+    """Fit one spec; pass ``encoding`` and ``sums`` to share what specs of one encoding have in common."""
     labelled = train.withColumn("_label", F.col(target).cast("double"))
     encoding = encoding or fit_encoding(labelled, spec.encoding)
+    if spec.family in ("linear", "ridge", "lasso") and len(encoding.slots) <= MAX_SLOTS:
+        sums = {} if sums is None else sums
+        if spec.encoding not in sums:
+            sums[spec.encoding] = cross_products(labelled, "_label", encoding)
+        solved = solve(sums[spec.encoding], spec.family, spec.params.get("alpha", 0.0), spec.params.get("max_iter", 1000))
+        return FittedLinear(spec, encoding, solved)
     if spec.family in ("hist_boosting", "extra_trees"):
         inputs = stage(_tree_inputs(encoding, labelled, [F.col("_label")]).select("_kept._label", *encoding.slots))
         if spec.family == "hist_boosting":
@@ -129,12 +149,13 @@ def fit_and_score(rows: DataFrame, target: str, specs: Sequence[ModelSpec], keep
     """
     train = rows.filter(F.col(split) == "train")
     encodings: dict[Encoding, FittedEncoding] = {}
+    sums: dict[Encoding, Sums] = {}
     fitted: dict[str, FittedModel] = {}
     out = None
     for spec in specs:
         if spec.encoding not in encodings:
             encodings[spec.encoding] = fit_encoding(train, spec.encoding)
-        model = fit_model(train, target, spec, encodings[spec.encoding])
+        model = fit_model(train, target, spec, encodings[spec.encoding], sums)
         fitted[spec.name] = model
         scored = model.predict(rows, [*keep, split, F.col(target).cast("double").alias("actual")])
         out = scored if out is None else out.unionByName(scored)
@@ -155,7 +176,7 @@ def tree_importance(fitted: FittedModel) -> DataFrame:
 
 def coefficient_table(fitted: FittedModel) -> DataFrame:
     """Signed and absolute coefficient per slot, largest first."""
-    weights = fitted.model.coefficients.toArray().tolist()
+    weights = list(fitted.model.coefficients)
     rows = [(fitted.spec.name, slot, float(w), abs(float(w))) for slot, w in zip(fitted.encoding.slots, weights)]
     table = SparkSession.active().createDataFrame(
         rows, "model string, feature string, coefficient double, abs_coefficient double"

@@ -193,16 +193,14 @@ WORD_2 = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+|[^0-9A-Za-z\x20\x09-\x0D\x{80}-\x{10FFF
     rf"""
     WITH counts AS (
       SELECT *, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id,
-        len(regexp_extract_all(coalesce(text, ''), '{WORD_1}')) AS n_1,
         len(regexp_extract_all(coalesce(text, ''), '{WORD_2}')) AS n_2
       FROM documents)
-    SELECT source, lang, CASE WHEN n_1 = n_2 THEN 'word-1' ELSE 'word-2' END AS tokenizer_version,
-      count(*) AS docs, sum(n_2)::BIGINT AS tokens
+    SELECT source, lang, 'word-2' AS tokenizer_version, count(*) AS docs, sum(n_2)::BIGINT AS tokens
     FROM counts WHERE doc_id = first_id GROUP BY ALL
     """,
 )
 def token_counts_query(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents inserted, exact copies deleted, counts revised where a new tokenizer differs."""
+    """All documents inserted, exact copies deleted, and every document left revised to the new tokenizer version."""
     text = F.coalesce("text", F.lit(""))
     counts = stage(
         read_table(spark, folder, "documents").select(
@@ -220,7 +218,7 @@ def token_counts_query(spark: SparkSession, folder: str) -> DataFrame:
     def events(op: str, version: str, count: str) -> DataFrame:
         return placed.select(
             F.lit(op).alias("op"), "doc_id", "source", "lang", F.lit(version).alias("tokenizer_version"),
-            F.col(count).alias("n_tokens"), "copy", (F.col("n_1") != F.col("n_2")).alias("differs"),
+            F.col(count).alias("n_tokens"), "copy",
         )
 
     rollup = token_rollup.Rollup(spark, f"{staging_dir(spark)}/rollup-{uuid.uuid4().hex}")
@@ -228,7 +226,7 @@ def token_counts_query(spark: SparkSession, folder: str) -> DataFrame:
     deleted = events("delete", "word-1", "n_1").where("copy")
     rollup.commit(2, deleted)
     rollup.commit(2, deleted)  # a repeated commit changes nothing
-    rollup.commit(3, events("revise", "word-2", "n_2").where("NOT copy AND differs"))
+    rollup.commit(3, events("revise", "word-2", "n_2").where("NOT copy"))
     return rollup.totals()
 
 

@@ -1,15 +1,20 @@
 r"""Quality rules with adaptive thresholds, DataFrame functions only.
 
 Base counts come from each whole text. Two fixed base rules reject texts that are too short
-or repeat themselves. For the remaining rules each metric's distribution is sketched per
-(lang, source), and a text is rejected where it lies far outside the bulk of its group: beyond
-the median by four quartile distances and by a fixed least slack. Where a group's quartiles
-lie close together the slack alone decides; the README says how often.
+or repeat themselves. For the remaining rules the values above zero of each metric are
+sketched per (lang, source), and a text is rejected where it lies far outside the bulk of its
+group's values: further from their median than SPREAD quartile distances. The shorter of the two
+quartile distances counts, so that junk on one side of the median does not widen the limits.
+A value of zero is never above a limit. Where values above zero are rare in a large group, its few
+values are out of place and say nothing of its bulk; the limit is then the lower quartile of the
+next wider sketch.
 
 The sketch is a log-bucket histogram: a value falls into the bucket ``floor(ln(v) / ln(GROWTH))``
 and a sketch is its bucket counts. Two sketches merge by adding counts, which is how a group
-with few texts takes the sketch of its language, or of all texts. Quantiles read from it
-are within a factor of GROWTH. Unlike sampled sketches it gives the same result on every run.
+with few values takes the sketch of its language, or of all texts. Quantiles read from it
+are within a factor of GROWTH, and limits are buckets too: the only fixed part of a limit is
+that a quartile distance is at least one bucket. Unlike sampled sketches it gives the same
+result on every run.
 """
 
 from __future__ import annotations
@@ -23,18 +28,19 @@ from leadline.llm.columns import strip_space
 from leadline.session import stage
 
 WINDOW = 8
-GROWTH = 1.05
-# A metric is an integer ratio in thousandths. ``slack`` is the least distance, in thousandths,
-# that the upper limit keeps from the median, so that a group without spread rejects no normal text.
+GROWTH = 1.01
+# A metric is an integer ratio in thousandths; ``low`` says that it has a lower limit too.
 METRICS = {
-    "symbols": {"over": ("n_symbols", "n_words"), "slack": 150, "low": False},
-    "dup_lines": {"over": ("n_dup_lines", "n_lines"), "slack": 500, "low": False},
-    "repeats": {"over": ("n_repeat_words", "n_words"), "slack": 250, "low": False},
-    "word_length": {"over": ("word_chars", "n_words"), "slack": 3000, "low": True},
+    "symbols": {"over": ("n_symbols", "n_words"), "low": False},
+    "dup_lines": {"over": ("n_dup_lines", "n_lines"), "low": False},
+    "repeats": {"over": ("n_repeat_words", "n_words"), "low": False},
+    "word_length": {"over": ("word_chars", "n_words"), "low": True},
 }
-# Quartiles, so that a fifth of junk in a group does not widen its limits.
-HIGH, LOW, SPREAD = 0.75, 0.25, 4.0
-MIN_GROUP = 100
+SPREAD = 6
+# A sketch of fewer values above zero gives way to the next wider one.
+MIN_VALUES = 20
+# In a group of at least MIN_GROUP texts, values above zero in less than one of RARE texts are rare.
+MIN_GROUP, RARE = 100, 100
 _SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -109,11 +115,8 @@ def _value(name: str) -> Column:
 
 
 def _bucket(value: Column) -> Column:
-    return F.when(value <= 0, F.lit(-1)).otherwise(F.floor(F.log(value.cast("double")) / F.lit(math.log(GROWTH))).cast("int"))
-
-
-def _from_bucket(bucket: Column) -> Column:
-    return F.when(bucket < 0, F.lit(0.0)).otherwise(F.pow(F.lit(GROWTH), bucket.cast("double")))
+    """The bucket of a value above zero; null for zero."""
+    return F.when(value > 0, F.floor(F.log(value.cast("double")) / F.lit(math.log(GROWTH))).cast("int"))
 
 
 def _long(counts: DataFrame) -> DataFrame:
@@ -123,10 +126,11 @@ def _long(counts: DataFrame) -> DataFrame:
 
 
 def sketches(counts: DataFrame) -> DataFrame:
-    """Bucket counts per (lang, source, metric) over texts that pass the base rules."""
+    """Bucket counts per (lang, source, metric) of values above zero, over texts that pass the base rules."""
     return (
         _long(counts.where(~F.col("base_failed")))
         .withColumn("bucket", _bucket(F.col("value")))
+        .where(F.col("bucket").isNotNull())
         .groupBy("lang", "source", "metric", "bucket")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -137,7 +141,10 @@ def merge_sketches(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def limits(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Limits per group and metric: median -/+ SPREAD times the distance to the outer quantile."""
+    """Per group and metric: ``total`` values, and the buckets ``upper`` and ``lower`` that are still within the limits.
+
+    ``q_low`` is the bucket of the lower quartile, ``step`` is the quartile distance that decided, in buckets; 0 where the least distance of one bucket did.
+    """
     by = Window.partitionBy(*keys, "metric")
     ranked = sketch.select(
         *keys,
@@ -147,21 +154,21 @@ def limits(sketch: DataFrame, keys: list[str]) -> DataFrame:
         F.sum("n").over(by).alias("total"),
     )
     at = {
-        name: F.min(F.when(F.col("upto") * 100 >= F.col("total") * int(q * 100), F.col("bucket")))
-        for name, q in (("q_low", LOW), ("q_mid", 0.5), ("q_high", HIGH))
+        name: F.min(F.when(F.col("upto") * 100 >= F.col("total") * percent, F.col("bucket")))
+        for name, percent in (("q_low", 25), ("q_mid", 50), ("q_high", 75))
     }
     out = ranked.groupBy(*keys, "metric").agg(F.max("total").alias("total"), *[v.alias(k) for k, v in at.items()])
-    slack = F.lit(0)
-    for name, m in METRICS.items():
-        slack = F.when(F.col("metric") == name, F.lit(m["slack"])).otherwise(slack)
-    low, mid, high = (_from_bucket(F.col(c)) for c in ("q_low", "q_mid", "q_high"))
+    step = F.least(F.col("q_high") - F.col("q_mid"), F.col("q_mid") - F.col("q_low"))
+    reach = SPREAD * F.greatest(step, F.lit(1))
     has_low = F.col("metric").isin([k for k, m in METRICS.items() if m["low"]])
     return out.select(
         *keys,
         "metric",
         "total",
-        (mid + F.greatest(slack.cast("double"), SPREAD * (high - mid))).alias("upper"),
-        F.when(has_low, mid - F.greatest(slack.cast("double"), SPREAD * (mid - low))).otherwise(F.lit(-1.0)).alias("lower"),
+        "q_low",
+        step.alias("step"),
+        (F.col("q_mid") + reach).alias("upper"),
+        F.when(has_low, F.col("q_mid") - reach).alias("lower"),
     )
 
 
@@ -169,49 +176,55 @@ def _wide(bounds: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     """One row per group with the limits of every metric as columns."""
     cells = []
     for name in METRICS:
-        for side in ("upper", "lower"):
-            cells.append(F.max(F.when(F.col("metric") == name, F.col(side))).alias(f"{prefix}_{name}_{side}"))
-    return bounds.groupBy(*keys).agg(F.max("total").alias(f"{prefix}_total"), *cells)
+        for part in ("total", "q_low", "upper", "lower"):
+            cells.append(F.max(F.when(F.col("metric") == name, F.col(part))).alias(f"{prefix}_{name}_{part}"))
+    return bounds.groupBy(*keys).agg(*cells)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base counts and verdict per row: doc_id, counts, base_failed, kept.
 
     ``docs`` needs columns lang and source besides id and text. A null lang or source is a
-    group of its own. A group with fewer than MIN_GROUP texts that pass the base rules uses
-    the merged sketch of its language, and a language with fewer uses that of all texts. A
-    text on a limit is kept. An empty table gives an empty table; repeated rows are judged
-    alike. The counts are staged once, without the texts, and read by the sketch and the filter.
+    group of its own. A metric of which a group has fewer than MIN_VALUES values above zero, among
+    texts that pass the base rules, takes the merged sketch of the language, and where that has
+    too few, of all texts; a rare one takes their lower quartile as its limit. A text in the bucket of a limit is kept. An empty table gives an empty
+    table; repeated rows are judged alike. The counts are staged once, without the texts, and read
+    by the sketch and the filter.
     """
     counts = base_counts(docs, id_col, text_col, keep=("lang", "source")).withColumns(
         {
-            "lang": F.coalesce(F.col("lang").cast("string"), F.lit("\x00")),
-            "source": F.coalesce(F.col("source").cast("string"), F.lit("\x00")),
+            "lang": F.col("lang").cast("string"),
+            "source": F.col("source").cast("string"),
             "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
         }
     )
     counts = stage(counts)
     fine = stage(sketches(counts))
-    by_lang = merge_sketches(fine, ["lang"])
-    overall = merge_sketches(fine, [])
     own = _wide(limits(fine, ["lang", "source"]), ["lang", "source"], "own")
-    lang = _wide(limits(by_lang, ["lang"]), ["lang"], "lang")
-    every = _wide(limits(overall, []), [], "every").select("*", F.lit(1).alias("one"))
+    lang = _wide(limits(merge_sketches(fine, ["lang"]), ["lang"]), ["lang"], "lang").withColumnRenamed("lang", "of_lang")
+    every = _wide(limits(merge_sketches(fine, []), []), [], "every").select("*", F.lit(1).alias("one"))
     # The groups' limits are few rows next to the texts; Spark broadcasts them by measured size.
-    table = own.join(lang, "lang").withColumn("one", F.lit(1)).join(every, "one").drop("one")
+    table = own.join(lang, F.col("lang").eqNullSafe(F.col("of_lang"))).withColumn("one", F.lit(1)).join(every, "one")
+    texts = F.col("own_word_length_total")  # no text that passes the base rules has a word length of zero
     chosen = []
     for name in METRICS:
-        for side in ("upper", "lower"):
-            level = F.when(F.col("own_total") >= MIN_GROUP, F.col(f"own_{name}_{side}")).otherwise(
-                F.when(F.col("lang_total") >= MIN_GROUP, F.col(f"lang_{name}_{side}")).otherwise(F.col(f"every_{name}_{side}"))
-            )
-            chosen.append(level.alias(f"{name}_{side}"))
-    table = table.select("lang", "source", *chosen)
+
+        def enough(level: str, part: str, wider: Column) -> Column:
+            return F.when(F.col(f"{level}_{name}_total") >= MIN_VALUES, F.col(f"{level}_{name}_{part}")).otherwise(wider)
+
+        of_wider = {part: enough("lang", part, F.col(f"every_{name}_{part}")) for part in ("q_low", "upper", "lower")}
+        rare = (texts >= MIN_GROUP) & (F.col(f"own_{name}_total") * RARE < texts)
+        upper = F.when(rare, of_wider["q_low"]).otherwise(enough("own", "upper", of_wider["upper"]))
+        chosen += [upper.alias(f"{name}_upper"), enough("own", "lower", of_wider["lower"]).alias(f"{name}_lower")]
+    table = table.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), *chosen)
+    # Null limits and the null bucket of zero reject nothing.
     fails = F.lit(False)
     for name in METRICS:
-        fails = fails | (_value(name) > F.col(f"{name}_upper")) | (_value(name) < F.col(f"{name}_lower"))
-    joined = counts.join(table, ["lang", "source"], "left")
-    return joined.select(
+        bucket = _bucket(_value(name))
+        for beyond in (bucket > F.col(f"{name}_upper"), bucket < F.col(f"{name}_lower")):
+            fails = fails | F.coalesce(beyond, F.lit(False))
+    same = F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source"))
+    return counts.join(table, same, "left").select(
         "doc_id",
         "n_words",
         "word_chars",
@@ -219,5 +232,5 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         "n_dup_lines",
         "n_repeat_words",
         "base_failed",
-        (~F.col("base_failed") & ~F.coalesce(fails, F.lit(False))).alias("kept"),
+        (~F.col("base_failed") & ~fails).alias("kept"),
     )

@@ -234,8 +234,9 @@ def _quality_rules_sql() -> str:
     """The rules of ``quality_rules.judge`` in SQL."""
     q = quality_rules
     metrics = " UNION ALL ".join(
-        f"SELECT doc_id, lang, source, base_failed, '{name}' AS metric, {m['slack']} AS slack, {m['low']} AS has_low,"
-        f" CASE WHEN {m['over'][1]} > 0 THEN {m['over'][0]} * 1000 // {m['over'][1]} END AS v FROM counts"
+        f"SELECT doc_id, lang, source, base_failed, '{name}' AS metric, {m['low']} AS has_low,"
+        f" CASE WHEN {m['over'][0]} * 1000 // {m['over'][1]} > 0"
+        f" THEN floor(ln({m['over'][0]} * 1000 // {m['over'][1]}) / {math.log(q.GROWTH)!r})::INT END AS bucket FROM counts"
         for name, m in q.METRICS.items()
     )
 
@@ -246,20 +247,23 @@ def _quality_rules_sql() -> str:
     {name}_run AS (
       SELECT {by}, bucket, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS total
       FROM {name}_sum),
-    {name} AS (
+    {name}_at AS (
       SELECT {by}, max(total) AS total,
-        min(bucket) FILTER (upto * 100 >= total * {int(q.LOW * 100)}) AS lo,
+        min(bucket) FILTER (upto * 100 >= total * 25) AS lo,
         min(bucket) FILTER (upto * 100 >= total * 50) AS mid,
-        min(bucket) FILTER (upto * 100 >= total * {int(q.HIGH * 100)}) AS hi
-      FROM {name}_run GROUP BY ALL)"""
+        min(bucket) FILTER (upto * 100 >= total * 75) AS hi
+      FROM {name}_run GROUP BY ALL),
+    {name} AS (SELECT *, {q.SPREAD} * greatest(least(hi - mid, mid - lo), 1) AS reach FROM {name}_at)"""
 
-    def value(bucket: str) -> str:
-        return f"CASE WHEN {bucket} < 0 THEN 0 ELSE pow({q.GROWTH}, {bucket}) END"
+    def wider(value: str) -> str:
+        return f"CASE WHEN l.total >= {q.MIN_VALUES} THEN {value.format(t='l')} ELSE {value.format(t='e')} END"
+
+    def level(value: str) -> str:
+        return f"CASE WHEN o.total >= {q.MIN_VALUES} THEN {value.format(t='o')} ELSE {wider(value)} END"
 
     return rf"""
     WITH base AS (
-      SELECT doc_id, coalesce(lang, '?null') AS lang, coalesce(source, '?null') AS source, coalesce(text, '') AS text,
-        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+      SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
       FROM documents),
     grams AS (
       SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM base, unnest(range(1, greatest(len(w) - 6, 1))) AS t(i)),
@@ -277,24 +281,22 @@ def _quality_rules_sql() -> str:
       FROM base LEFT JOIN covered c USING (doc_id) LEFT JOIN lines l USING (doc_id)),
     metrics AS ({metrics}),
     sketch AS (
-      SELECT lang, source, metric,
-        CASE WHEN v <= 0 THEN -1 ELSE floor(ln(v) / {math.log(q.GROWTH)!r})::INT END AS bucket, count(*) AS n
-      FROM metrics WHERE NOT base_failed GROUP BY ALL),
+      SELECT lang, source, metric, bucket, count(*) AS n FROM metrics
+      WHERE NOT base_failed AND bucket IS NOT NULL GROUP BY ALL),
     {bounds("own", "lang, source")},
     {bounds("by_lang", "lang")},
     {bounds("overall", "")},
     chosen AS (
-      SELECT m.*,
-        CASE WHEN o.total >= {q.MIN_GROUP} THEN o.lo WHEN l.total >= {q.MIN_GROUP} THEN l.lo ELSE e.lo END AS lo,
-        CASE WHEN o.total >= {q.MIN_GROUP} THEN o.mid WHEN l.total >= {q.MIN_GROUP} THEN l.mid ELSE e.mid END AS mid,
-        CASE WHEN o.total >= {q.MIN_GROUP} THEN o.hi WHEN l.total >= {q.MIN_GROUP} THEN l.hi ELSE e.hi END AS hi
-      FROM metrics m LEFT JOIN own o USING (lang, source, metric) LEFT JOIN by_lang l USING (lang, metric)
-        LEFT JOIN overall e USING (metric) WHERE NOT base_failed),
-    valued AS (
-      SELECT doc_id, v, slack, has_low, {value("lo")} AS lo, {value("mid")} AS mid, {value("hi")} AS hi FROM chosen),
-    failed AS (
-      SELECT DISTINCT doc_id FROM valued
-      WHERE v > mid + greatest(slack, {q.SPREAD} * (hi - mid)) OR has_low AND v < mid - greatest(slack, {q.SPREAD} * (mid - lo)))
+      SELECT m.doc_id, m.bucket, m.has_low, {level("{t}.mid - {t}.reach")} AS lower,
+        CASE WHEN g.texts >= {q.MIN_GROUP} AND o.total * {q.RARE} < g.texts THEN {wider("{t}.lo")}
+          ELSE {level("{t}.mid + {t}.reach")} END AS upper
+      FROM metrics m
+        LEFT JOIN (SELECT lang, source, count(*) AS texts FROM counts WHERE NOT base_failed GROUP BY ALL) g
+          ON m.lang IS NOT DISTINCT FROM g.lang AND m.source IS NOT DISTINCT FROM g.source
+        LEFT JOIN own o ON m.lang IS NOT DISTINCT FROM o.lang AND m.source IS NOT DISTINCT FROM o.source AND m.metric = o.metric
+        LEFT JOIN by_lang l ON m.lang IS NOT DISTINCT FROM l.lang AND m.metric = l.metric
+        LEFT JOIN overall e ON m.metric = e.metric WHERE NOT m.base_failed),
+    failed AS (SELECT DISTINCT doc_id FROM chosen WHERE bucket > upper OR has_low AND bucket < lower)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
       NOT base_failed AND f.doc_id IS NULL AS kept
     FROM counts LEFT JOIN failed f USING (doc_id)

@@ -185,6 +185,39 @@ def test_quality_base_counts_and_verdict(spark, docs, empty):
     assert quality_rules.judge(empty).count() == 0
 
 
+def test_quality_limits_follow_the_spread_of_each_metric(spark):
+    """Two groups with values around the same median: the one of wider spread has wider limits."""
+
+    def counts(k, source, spread, far):
+        shift = 1 + (k % 9 - 4) * spread if far is None else far
+        return (k, "en", source, 1000, int(5000 * shift), int(300 * shift), 1000, int(200 * shift), int(100 * shift), False)
+
+    rows = [counts(k, "even", 0.01, None) for k in range(90)] + [counts(k, "mixed", 0.05, None) for k in range(90)]
+    rows += [(900, None, None, 1000, 5000, 0, 1000, 0, 0, False)]  # no value above zero
+    made = spark.createDataFrame(
+        rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long,"
+        " n_dup_lines long, n_repeat_words long, base_failed boolean")
+    found = {(r["source"], r["metric"]): r for r in quality_rules.limits(quality_rules.sketches(made), ["lang", "source"]).collect()}
+    assert len(found) == 9 and (None, "symbols") not in found
+    for metric in quality_rules.METRICS:
+        even, mixed = found["even", metric], found["mixed", metric]
+        assert even["upper"] < mixed["upper"] and mixed["step"] > even["step"] >= 1
+        assert (even["lower"] is None) == (metric != "word_length")
+    assert found["mixed", "word_length"]["lower"] < found["even", "word_length"]["lower"]
+
+
+def test_quality_null_and_odd_groups(spark):
+    def text(k):
+        return " ".join(f"word{k:04}x{j}" for j in range(60))
+
+    groups = [(None, None), ("\x00", None), (None, "?null"), ("en", "?null")]
+    rows = [(100 * g + k, text(100 * g + k), *groups[g]) for g in range(4) for k in range(30)]
+    rows += [(9000, " ".join(f"extraordinarily{j}long" * 8 for j in range(60)), None, None), (9001, "word " * 3, None, None)]
+    got = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    kept = {r["doc_id"]: r["kept"] for r in got.collect()}
+    assert len(kept) == len(rows) and not kept.pop(9000) and not kept.pop(9001) and all(kept.values())
+
+
 def test_quality_limits_adapt_to_the_group(spark):
     def text(k, marks):
         return " ".join(f"word{k}x{j}" + "|" * (j < marks) for j in range(60))

@@ -3,8 +3,9 @@ r"""Quality rules with adaptive thresholds, DataFrame functions only.
 Base counts come from each whole text. Two fixed base rules reject texts that are too short
 or repeat themselves. For the remaining rules the values above zero of each metric are
 sketched per (lang, source), and a text is rejected where it lies far outside the bulk of its
-group's values: further from their median than SPREAD quartile distances. The shorter of the two
-quartile distances counts, so that junk on one side of the median does not widen the limits.
+group's values: further from their median than SPREAD quartile distances. That is half the distance
+between the quartiles; for metrics that are mostly zero it is the shorter of the two distances from
+the median, as much of what is above zero there may be junk and must not widen the limits.
 A value of zero is never above a limit. Where values above zero are rare in a large group, its few
 values are out of place and say nothing of its bulk; the limit is then the lower quartile of the
 next wider sketch.
@@ -29,14 +30,14 @@ from leadline.session import stage
 
 WINDOW = 8
 GROWTH = 1.01
-# A metric is an integer ratio in thousandths; ``low`` says that it has a lower limit too.
+# A metric is an integer ratio in thousandths; ``low`` says that it has a lower limit too, and is above zero in all texts.
 METRICS = {
     "symbols": {"over": ("n_symbols", "n_words"), "low": False},
     "dup_lines": {"over": ("n_dup_lines", "n_lines"), "low": False},
     "repeats": {"over": ("n_repeat_words", "n_words"), "low": False},
     "word_length": {"over": ("word_chars", "n_words"), "low": True},
 }
-SPREAD = 6
+SPREAD = 4
 # A sketch of fewer values above zero gives way to the next wider one.
 MIN_VALUES = 20
 # In a group of at least MIN_GROUP texts, values above zero in less than one of RARE texts are rare.
@@ -158,9 +159,10 @@ def limits(sketch: DataFrame, keys: list[str]) -> DataFrame:
         for name, percent in (("q_low", 25), ("q_mid", 50), ("q_high", 75))
     }
     out = ranked.groupBy(*keys, "metric").agg(F.max("total").alias("total"), *[v.alias(k) for k, v in at.items()])
-    step = F.least(F.col("q_high") - F.col("q_mid"), F.col("q_mid") - F.col("q_low"))
-    reach = SPREAD * F.greatest(step, F.lit(1))
     has_low = F.col("metric").isin([k for k, m in METRICS.items() if m["low"]])
+    half = F.ceil((F.col("q_high") - F.col("q_low")) / 2).cast("int")
+    step = F.when(has_low, half).otherwise(F.least(F.col("q_high") - F.col("q_mid"), F.col("q_mid") - F.col("q_low")))
+    reach = SPREAD * F.greatest(step, F.lit(1))
     return out.select(
         *keys,
         "metric",

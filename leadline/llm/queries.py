@@ -240,6 +240,8 @@ def _quality_rules_sql() -> str:
         for name, m in q.METRICS.items()
     )
 
+    two_sided = ", ".join(f"'{name}'" for name, m in q.METRICS.items() if m["low"])
+
     def bounds(name: str, keys: str) -> str:
         by = f"{keys}, metric" if keys else "metric"
         return f"""
@@ -253,7 +255,9 @@ def _quality_rules_sql() -> str:
         min(bucket) FILTER (upto * 100 >= total * 50) AS mid,
         min(bucket) FILTER (upto * 100 >= total * 75) AS hi
       FROM {name}_run GROUP BY ALL),
-    {name} AS (SELECT *, {q.SPREAD} * greatest(least(hi - mid, mid - lo), 1) AS reach FROM {name}_at)"""
+    {name} AS (
+      SELECT *, {q.SPREAD} * greatest(
+        CASE WHEN metric IN ({two_sided}) THEN (hi - lo + 1) // 2 ELSE least(hi - mid, mid - lo) END, 1) AS reach FROM {name}_at)"""
 
     def wider(value: str) -> str:
         return f"CASE WHEN l.total >= {q.MIN_VALUES} THEN {value.format(t='l')} ELSE {value.format(t='e')} END"

@@ -1,6 +1,7 @@
 """Row-wise and line operators against brute force, on small odd inputs."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -427,6 +428,71 @@ def test_rollup_is_additive_and_idempotent(spark, tmp_path):
     assert totals() == want and totals(1) == {("a", "en", "v1"): (5, 100), (None, "en", "v1"): (3, 180)}
 
 
+def test_rollup_commits_of_any_batch_repeat(spark, tmp_path, monkeypatch):
+    """Histories with earlier batches committed again, cut off, or late equal one clean history."""
+    rng = random.Random(5)
+    schema = "op string, doc_id long, source string, lang string, tokenizer_version string, n_tokens long"
+
+    def batch():
+        rows = [
+            (rng.choice(["insert", "delete", "revise"]), rng.randrange(12), rng.choice(["a", None]), "en", rng.choice("vw"), rng.randrange(30))
+            for _ in range(8)
+        ]
+        return spark.createDataFrame(rows, schema)
+
+    def brute(batches):
+        held = {}
+        for events in batches:
+            last = {}
+            for e in events.collect():
+                key = (e["op"], e["source"] is not None, e["source"] or "", e["lang"], e["tokenizer_version"], e["n_tokens"])
+                if e["doc_id"] not in last or key > last[e["doc_id"]][0]:
+                    last[e["doc_id"]] = (key, e)
+            for doc, (_, e) in last.items():
+                held.pop(doc, None)
+                if e["op"] != "delete":
+                    held[doc] = ((e["source"], e["lang"], e["tokenizer_version"]), e["n_tokens"])
+        sums = {}
+        for key, n in held.values():
+            docs, tokens = sums.get(key, (0, 0))
+            sums[key] = (docs + 1, tokens + n)
+        return sums
+
+    def got(upto=None):
+        return {tuple(r)[:3]: tuple(r)[3:] for r in rollup.totals(upto).collect()}
+
+    rollup = token_rollup.Rollup(spark, str(tmp_path), snapshot_every=2)
+    one, two, three, other = batch(), batch(), batch(), batch()
+    rollup.commit(1, one)
+    rollup.commit(3, three)
+    rollup.commit(2, two)  # late
+    assert got() == brute([one, two, three]) and got(2) == brute([one, two])
+    rollup.commit(1, one)  # equal events, in any order
+    rollup.commit(1, one.orderBy("n_tokens"))
+    assert got() == brute([one, two, three])
+    rollup.commit(1, other)  # other events
+    assert got() == brute([other, two, three]) and got(1) == brute([other])
+
+    class Lost(Exception):
+        pass
+
+    def lost(number):
+        raise Lost
+
+    with monkeypatch.context() as patch:
+        patch.setattr(rollup, "_work_out", lost)
+        with pytest.raises(Lost):
+            rollup.commit(2, one)
+    assert got() == brute([other])  # nothing of the commit that was cut off
+    rollup.commit(4, two)  # works out what is left before
+    assert got() == brute([other, one, three, two])
+    rollup._mark(3, token_rollup.OPEN)
+    with pytest.raises(RuntimeError):
+        rollup.commit(5, three)
+    rollup.commit(3, three)
+    assert got() == brute([other, one, three, two])
+
+
 def test_digest_columns(spark):
     """The registered forms read whole tables and give the contract's columns."""
     from leadline.llm import QUERIES

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadline.llm.batches import free_memory, map_texts
-from leadline.llm.components import components
+from leadline.llm.components import components, joined
 from leadline.session import stage
 
 KEPT = 96
@@ -259,17 +259,13 @@ def near_duplicates(
     first = _best_partner(pairs)
     if has_long:
         first = first.unionByName(round_of(PIVOTS[0], None))
-    edges = stage(_verified(first, sets, similarity))
-    labels = components(edges)
+    labels = components(stage(_verified(first, sets, similarity)))
     second = _across(pairs, labels).drop("estimate")
     if has_long:
         second = second.unionByName(round_of(PIVOTS[1], labels))
-    edges = edges.union(stage(_verified(second, sets, similarity)))
-    labels = components(edges)
+    labels = joined(labels, stage(_verified(second, sets, similarity)))
     if has_long:
-        more = stage(_rest_of_long_lists(long, sets, labels, similarity))
-        if not more.isEmpty():
-            labels = components(edges.union(more))
+        labels = joined(labels, stage(_rest_of_long_lists(long, sets, labels, similarity)))
     return _labelled(rows, classes, labels)
 
 

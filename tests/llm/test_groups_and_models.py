@@ -85,6 +85,20 @@ def test_near_duplicates_of_nothing(spark):
     assert [tuple(r) for r in near_dedup.near_duplicates(alone).collect()] == [(1, 0, 1, True)]
 
 
+def test_components_joined_by_more_edges(spark):
+    rng = random.Random(9)
+    for n in (0, 4, 40):
+        before, after = ([(rng.randrange(60), rng.randrange(60)) for _ in range(k)] for k in (30, n))
+        edges, more = (spark.createDataFrame(e, "a int, b int") for e in (before, after))
+        got = components.joined(components.components(edges), more).collect()
+        want = components.components(edges.union(more)).collect()
+        linked = {r["node"]: r["component"] for r in want}
+        assert {r["node"]: r["component"] for r in got} == linked and len(got) == len(linked)
+    empty = spark.createDataFrame([], "a int, b int")
+    assert components.joined(components.components(empty), empty).count() == 0
+    assert {tuple(r) for r in components.joined(components.components(empty), edges.limit(0).union(empty)).collect()} == set()
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(20, 50)] + [(3, 3), (50, 160)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

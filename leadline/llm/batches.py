@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from leadline.llm.columns import free_name
+from leadline.llm.columns import free_name, without
 
 # Bytes of text that one call of a batch function sees at most, unless one text is longer.
 SLICE_BYTES = 8 << 20
@@ -53,8 +53,7 @@ def map_texts(
     with the kept columns. It returns a column of equal length for each field. Columns of
     ``keep`` named like a field are replaced.
     """
-    added = {f.name for f in fields}
-    kept = [c for c in (df.columns if keep is None else keep) if c not in added]
+    kept = without(df.columns if keep is None else keep, [f.name for f in fields])
     text = free_name(df, "text_in")
     source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).cast("binary" if as_bytes else "string").alias(text))
     schema = T.StructType([f for f in source.schema.fields if f.name != text] + fields)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def without(columns: list[str], names: Iterable[str]) -> list[str]:
+    """``columns`` but those that have one of ``names``, whatever the case: Spark does not tell cases apart."""
+    taken = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in taken]
+
+
 def strip_space(value: Column) -> Column:
     return F.btrim(value, F.lit(SPACE))
 

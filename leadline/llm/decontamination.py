@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadline.llm.batches import map_texts
-from leadline.llm.columns import free_name
+from leadline.llm.columns import free_name, without
 from leadline.session import stage
 
 WINDOW = 10
@@ -232,7 +232,7 @@ def scan(
 
         return work
 
-    wanted = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    wanted = without(docs.columns if keep is None else keep, names)
     blocks = item_blocks(items, item_id, item_text, block_words)
     out = None
     while group := list(islice(blocks, BLOCKS_AT_ONCE)):

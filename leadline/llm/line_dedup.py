@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadline.llm.columns import ascii_lower, free_name, strip_space
+from leadline.llm.columns import ascii_lower, free_name, strip_space, without
 
 
 def dedup_lines(
@@ -38,9 +38,10 @@ def dedup_lines(
     partial sums and joined back by a join that Spark may split, so it never meets in one
     task.
     """
-    docs = docs.drop(*[c for c in docs.columns if c in (n_lines, n_dropped)])
-    row, text, pos, line, h1, h2, top, many, gone, parts = (
-        free_name(docs, c) for c in ("row", "whole_text", "pos", "line", "h1", "h2", "top", "many", "gone", "parts")
+    docs = docs.select(*[F.col(f"`{c}`") for c in without(docs.columns, (n_lines, n_dropped))])
+    row, text, pos, line, h1, h2, top, many, gone, parts, gone_id, gone_row = (
+        free_name(docs, c)
+        for c in ("row", "whole_text", "pos", "line", "h1", "h2", "top", "many", "gone", "parts", "gone_id", "gone_row")
     )
     # Rows that share an id may have different texts, hence the text's hash as part of the key.
     whole = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit(""))).withColumn(row, F.xxhash64(text))
@@ -63,10 +64,10 @@ def dedup_lines(
         .where(~F.col("id").eqNullSafe(F.col(top)))
         .groupBy("id", row)
         .agg(F.collect_set(pos).alias(gone))
-        .select(F.col("id").alias("gone_id"), F.col(row).alias("gone_row"), gone)
+        .select(F.col("id").alias(gone_id), F.col(row).alias(gone_row), gone)
     )
     joined = whole.join(
-        dropped, whole[id_col].eqNullSafe(dropped["gone_id"]) & (whole[row] == dropped["gone_row"]), "left"
+        dropped, whole[id_col].eqNullSafe(dropped[gone_id]) & (whole[row] == dropped[gone_row]), "left"
     ).withColumn(parts, F.split(text, "\n", -1))
     # array_except keeps the order and works by a hash set: linear in the lines of a text.
     kept = F.transform(

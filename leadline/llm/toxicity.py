@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadline.llm.batches import map_texts
+from leadline.llm.columns import without
 from leadline.llm.decontamination import words_of
 from leadline.session import stage
 
@@ -182,12 +183,12 @@ class Model:
     calibration: object = None
 
     def score(self, docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, score_col: str = "score") -> DataFrame:
-        """``keep`` columns (all but clashing ones by default) and the score, 0 to 1.
+        """``keep`` columns (all by default) and the score, 0 to 1. A column named like the score is replaced.
 
         Null and empty texts have all features zero and are scored like any other. Repeated
         rows get equal scores, an empty table stays empty.
         """
-        keep = [c for c in (docs.columns if keep is None else keep) if c not in (score_col, *FEATURES)]
+        keep = without(docs.columns if keep is None else keep, [score_col])
         if self.trees is None:
             return docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(self.base_rate).alias(score_col))
         rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col(text_col).alias("text"))

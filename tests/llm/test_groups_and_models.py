@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leadline.llm import components, near_dedup, quality, toxicity
+from leadline.llm import components, decontamination, near_dedup, quality, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_shingles string"
 
@@ -260,3 +260,41 @@ def test_pipeline_near_copies_row_by_row(spark):
     key = lambda r: tuple((x is None, x) for x in r)
     want = [(5, a), (6, b), (7, c), (None, d), (None, None), (None, None), (8, ""), (8, "")]
     assert sorted([tuple(r)[:2] for r in got], key=key) == sorted(want, key=key)
+
+
+def test_pipeline_keeps_columns_named_like_its_own(spark, tmp_path):
+    """Extra columns named like features, counts and helpers pass through, in either case; empty tables stay empty."""
+    import corpus_pipeline
+
+    rows, labels = toxic_corpus(400, 7)
+    rows = [r[:5] for r in rows] + [(9000, None, "en", "s", 0), (9001, "", "en", "s", 0), (9002, "w " * 200_000, "en", "s", 0)]
+    names = [
+        *toxicity.FEATURES, "score", "toxicity_score", "kept", "vector", "raw", "prediction", "probability", "value",
+        "n_lines", "n_dropped", "row", "pos", "h1", "gone", "gone_id", "gone_row", "id", "many", "top",
+        "row_number", "row_key", "doc", "digest", "component", "n_words", "spans", "items", "hit_spans", "text_in", "text_again",
+    ]
+    extra = [n.upper() if k % 2 else n for k, n in enumerate(names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in extra])
+    folder = str(tmp_path)
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    passage = " ".join(f"q{k}" for k in range(30))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    empty = docs.limit(0)
+    for k, (name, function) in enumerate(corpus_pipeline.STAGES[:4]):
+        out, none = function(spark, docs, folder), function(spark, empty, folder)
+        assert out.columns == docs.columns == none.columns, name
+        out.write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+        got = docs.drop("text").collect()
+        assert len(got) > 100 and all(r[n] == f"{n}:{r['doc_id']}" for r in got for n in extra), name
+        assert {9000, 9001} <= {r["doc_id"] for r in got} and none.count() == 0, name
+    assert corpus_pipeline.pack_sequences(spark, docs, folder).select("doc_id").distinct().count() == len(got)
+    assert corpus_pipeline.pack_sequences(spark, empty, folder).count() == 0
+
+
+def test_scan_replaces_result_columns_in_either_case(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", "y", "z")], "doc_id long, text string, N_WORDS string, Spans string, ITEMS string")
+    items = spark.createDataFrame([(7, "b c")], "item_id long, text string")
+    got = decontamination.scan(docs, items).first().asDict(recursive=True)
+    assert got == {"doc_id": 1, "text": "a b c", "n_words": 3, "spans": [{"from": 1, "to": 3}], "items": ["7"]}

@@ -20,13 +20,15 @@ from leadline.sources.tables import read_table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the toxicity threshold. The model learns from the documents given."""
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    scored = model.score(docs, score_col="toxicity_score")
-    return scored.where(F.col("toxicity_score") < toxicity.THRESHOLD).select(*docs.columns)
+    score = free_name(docs, "toxicity_score")
+    scored = model.score(docs, score_col=score)
+    return scored.where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that three or more documents hold, but for one of them; none is left out."""
-    return with_length(line_dedup.dedup_lines(docs).select(*docs.columns))
+    n_lines, n_dropped = free_name(docs, "n_lines"), free_name(docs, "n_dropped")
+    return with_length(line_dedup.dedup_lines(docs, n_lines=n_lines, n_dropped=n_dropped).select(*docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

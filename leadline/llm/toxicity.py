@@ -223,6 +223,7 @@ def fit(
 
     Null labels and null ids teach nothing; an id with several labels counts as 1 if any is 1.
     With labels of one class only, or none, every score is the share of ones (0 without labels).
+    With fewer than 50 rows to calibrate on, the calibration takes the rows of the trees as well.
     """
     learnable = ~held_out(id_col) if learnable is None else learnable
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & learnable)

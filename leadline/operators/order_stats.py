@@ -14,11 +14,13 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leadline.session import stage
+
 HISTOGRAM_BUCKETS = 4096
 SLICE_ROWS = 200_000
 DISTINCT_LIMIT = 1_000_000
@@ -205,83 +207,65 @@ def exact_quantiles(
     """
     keys = list(keys)
     data = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    crowded = (
-        data.groupBy(*keys)
-        .agg(F.approx_count_distinct("_v").alias("_d"))
-        .filter(F.col("_d") > distinct_limit)
-        .drop("_d")
-        .collect()
-    )
+    seen = Observation()
+    crowded = data.groupBy(*keys).agg(F.approx_count_distinct("_v").alias("_d")).filter(F.col("_d") > distinct_limit)
+    hot = stage(crowded.drop("_d").withColumn("_hot", F.lit(True)).observe(seen, F.count(F.lit(1)).alias("n")))
     direct = [F.percentile("_v", F.lit(p)).alias(name) for name, p in probs.items()]
-    if not crowded:
+    if not seen.get.get("n"):
         return data.groupBy(*keys).agg(*direct)
     if not keys:
         return _search_quantiles(data, keys, probs, buckets)
-    key_schema = T.StructType([data.schema[k] for k in keys])
-    hot = data.sparkSession.createDataFrame([tuple(r) for r in crowded], key_schema)
-    same = [data[k].eqNullSafe(hot[k]) for k in keys]
-    on = reduce(lambda a, b: a & b, same)
+    on = reduce(lambda a, b: a & b, [data[k].eqNullSafe(hot[k]) for k in keys])
     cold_part = data.join(hot, on, "left_anti").groupBy(*keys).agg(*direct)
     return cold_part.unionByName(_search_quantiles(data.join(hot, on, "left_semi"), keys, probs, buckets))
 
 
 def _search_quantiles(data: DataFrame, keys: list[str], probs: dict[str, float], buckets: int) -> DataFrame:
-    """Histogram search for the few groups with very many distinct values."""
-    spark = data.sparkSession
-    ranges = data.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high")
-    )
-    groups = [(tuple(r[k] for k in keys), r["n"], r["low"], r["high"]) for r in ranges.collect()]
-    # One search per (group, rank); a quantile interpolates between two neighbouring ranks.
-    wanted = {}
-    for key, n, low, high in groups:
-        for p in probs.values():
-            at = p * (n - 1)
-            for rank in {int(at), min(int(at) + 1, n - 1)}:
-                wanted[(key, rank)] = (rank, low, high)
-    state_schema = T.StructType(
-        [data.schema[k] for k in keys]
-        + [T.StructField("_rank", T.LongType()), T.StructField("_low", T.DoubleType()), T.StructField("_high", T.DoubleType())]
-    )
-    found: dict[tuple, float] = {}
-    while wanted:
-        state = spark.createDataFrame(
-            [(*key, rank, low, high) for (key, rank), (_, low, high) in wanted.items()], state_schema
-        )
-        left, right = data.alias("d"), state.alias("s")
+    """Histogram search for groups with very many distinct values.
+
+    A search is a row (keys, rank, what is left of the rank, value range); a pass counts the buckets of
+    every open range and keeps the bucket that holds the rank. Searches stay in tables from pass
+    to pass, so neither their number nor that of the groups is bounded by the driver, and Spark
+    joins them to the values by their size. A window holds the buckets of one search.
+    """
+    data = stage(data)
+    at = {name: F.lit(p) * (F.col("_n") - 1) for name, p in probs.items()}
+    below = {name: F.floor(place).cast("long") for name, place in at.items()}
+    above = {name: F.least(rank + 1, F.col("_n") - 1) for name, rank in below.items()}
+    ranges = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    ranks = F.explode(F.array_distinct(F.array(*below.values(), *above.values())))
+    searches = stage(ranges.withColumn("_rank", ranks).select(*keys, "_n", "_rank", F.col("_rank").alias("_left"), "_low", "_high"))
+    is_open = F.col("_low") < F.col("_high")
+    by = W.partitionBy(*keys, "_rank").orderBy("_b")
+    while True:
         on = [F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
         on.append(F.col("d._v").between(F.col("s._low"), F.col("s._high")))
         cells = (
-            left.join(F.broadcast(right), reduce(lambda a, b: a & b, on))
+            data.alias("d")
+            .join(searches.filter(is_open).alias("s"), reduce(lambda a, b: a & b, on))
             .groupBy(
                 *[F.col(f"d.{k}").alias(k) for k in keys],
+                "_n",
                 "_rank",
+                "_left",
                 _bucket(F.col("_v"), F.col("_low"), F.col("_high"), buckets).alias("_b"),
             )
-            .agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
-            .collect()
+            .agg(F.count(F.lit(1)).alias("_held"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+            .withColumn("_before", F.sum("_held").over(by) - F.col("_held"))
+            .filter((F.col("_before") <= F.col("_left")) & (F.col("_left") < F.col("_before") + F.col("_held")))
+            .select(*keys, "_n", "_rank", (F.col("_left") - F.col("_before")).alias("_left"), "_low", "_high")
         )
-        by_search: dict[tuple, list] = {}
-        for cell in cells:
-            by_search.setdefault((tuple(cell[k] for k in keys), cell["_rank"]), []).append(cell)
-        for search, rows in by_search.items():
-            left_over = wanted.pop(search)[0]
-            for row in sorted(rows, key=lambda r: r["_b"]):
-                if left_over < row["n"]:
-                    break
-                left_over -= row["n"]
-            if row["low"] == row["high"]:
-                found[search] = row["low"]
-            else:
-                wanted[search] = (left_over, row["low"], row["high"])
-    rows = []
-    for key, n, _, _ in groups:
-        values = []
-        for p in probs.values():
-            at = p * (n - 1)
-            below = found[(key, int(at))]
-            above = found[(key, min(int(at) + 1, n - 1))]
-            values.append(below + (above - below) * (at - int(at)))
-        rows.append((*key, *values))
-    schema = T.StructType([data.schema[k] for k in keys] + [T.StructField(name, T.DoubleType()) for name in probs])
-    return spark.createDataFrame(rows, schema)
+        seen = Observation()
+        narrowed = cells.unionByName(searches.filter(~is_open))
+        searches = stage(narrowed.observe(seen, F.count(F.when(is_open, 1)).alias("open")))
+        if not seen.get.get("open"):
+            break
+    values = searches.groupBy(*keys, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_low"))).alias("_at"))
+    found = F.col("_at")
+    return values.select(
+        *keys,
+        *[
+            (found[below[name]] + (found[above[name]] - found[below[name]]) * (at[name] - below[name])).alias(name)
+            for name in probs
+        ],
+    )

@@ -70,3 +70,15 @@ def test_histogram_top_edge_and_sample_are_stable(spark):
     two = sorted(r["x"] for r in seeded_sample(df.repartition(5), ["x"], 4).collect())
     assert one == two and len(one) == 4
     assert histogram(df.filter(F.col("x") == 3), "x", 5).count() == 1
+
+
+def test_searched_quantiles_of_many_crowded_groups(spark):
+    """Thousands of searched groups, a null and an unequal one among them, equal the built-in quantiles."""
+    df = spark.range(0, 60000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN -1 WHEN id % 2000 = 1 THEN NULL ELSE id % 2000 END AS k", "pmod(xxhash64(id), 100000) / 7.0D AS v"
+    )
+    probs = {"q25": 0.25, "q50": 0.5, "q90": 0.9}
+    plain = sorted(map(tuple, exact_quantiles(df, ["k"], "v", probs).collect()), key=str)
+    searched = sorted(map(tuple, exact_quantiles(df, ["k"], "v", probs, distinct_limit=5, buckets=16).collect()), key=str)
+    assert len(plain) > 1300 and [r[0] for r in plain] == [r[0] for r in searched]
+    assert all(a == pytest.approx(b, rel=1e-12) for x, y in zip(plain, searched) for a, b in zip(x[1:], y[1:]))

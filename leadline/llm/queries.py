@@ -193,14 +193,22 @@ WORD_2 = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+|[^0-9A-Za-z\x20\x09-\x0D\x{80}-\x{10FFF
     rf"""
     WITH counts AS (
       SELECT *, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id,
+        len(regexp_extract_all(coalesce(text, ''), '{WORD_1}')) AS n_1,
         len(regexp_extract_all(coalesce(text, ''), '{WORD_2}')) AS n_2
       FROM documents)
-    SELECT source, lang, 'word-2' AS tokenizer_version, count(*) AS docs, sum(n_2)::BIGINT AS tokens
-    FROM counts WHERE doc_id = first_id GROUP BY ALL
+    SELECT 1::BIGINT AS batch, source, lang, 'word-1' AS tokenizer_version, count(*) AS docs, sum(n_1)::BIGINT AS tokens
+    FROM counts GROUP BY ALL
+    UNION ALL
+    SELECT 2::BIGINT, source, lang, 'word-1', count(*), sum(n_1)::BIGINT FROM counts WHERE doc_id = first_id GROUP BY ALL
+    UNION ALL
+    SELECT 3::BIGINT, source, lang, 'word-2', count(*), sum(n_2)::BIGINT FROM counts WHERE doc_id = first_id GROUP BY ALL
     """,
 )
 def token_counts_query(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents inserted, exact copies deleted, and every document left revised to the new tokenizer version."""
+    """All documents inserted, exact copies deleted, and every document left revised to the new tokenizer version.
+
+    Returns the totals after each of the three batches, so that the counts of both versions show.
+    """
     text = F.coalesce("text", F.lit(""))
     counts = stage(
         read_table(spark, folder, "documents").select(
@@ -227,7 +235,8 @@ def token_counts_query(spark: SparkSession, folder: str) -> DataFrame:
     rollup.commit(2, deleted)
     rollup.commit(2, deleted)  # a repeated commit changes nothing
     rollup.commit(3, events("revise", "word-2", "n_2").where("NOT copy"))
-    return rollup.totals()
+    after = [rollup.totals(batch).select(F.lit(batch).cast("long").alias("batch"), "*") for batch in (1, 2, 3)]
+    return after[0].unionByName(after[1]).unionByName(after[2])
 
 
 def _quality_rules_sql() -> str:

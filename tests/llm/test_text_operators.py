@@ -509,3 +509,17 @@ def test_digest_columns(spark):
     lines = QUERIES["op6_line_dedup"](spark, folder).collect()
     assert len(lines) == len(texts) and all(re.fullmatch("[0-9a-f]{64}", r["kept_sha256"]) for r in lines)
     assert hashlib.sha256(b"").hexdigest() in {r["items_sha256"] for r in QUERIES["op1_decontamination"](spark, folder).collect()}
+
+
+def test_token_counts_query_shows_both_versions_after_each_batch(spark, tmp_path):
+    import __spark_entry__ as driver
+
+    rows = [(1, "s", "en", "don't stop"), (2, "s", "en", "don't stop"), (3, "s", "en", "two words"), (4, None, "en", None)]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = driver.queries()["op7_token_counts"](spark, str(tmp_path)).collect()
+    table = {(r["batch"], r["source"], r["tokenizer_version"]): (r["docs"], r["tokens"]) for r in got}
+    assert set(table) == {(b, s, v) for b, v in ((1, "word-1"), (2, "word-1"), (3, "word-2")) for s in ("s", None)}
+    assert [table[b, "s", v][0] for b, v in ((1, "word-1"), (2, "word-1"), (3, "word-2"))] == [3, 2, 2]
+    # "don't stop" has 2 tokens in the first version and 4 in the second.
+    assert [table[b, "s", v][1] for b, v in ((1, "word-1"), (2, "word-1"), (3, "word-2"))] == [6, 4, 6]
+    assert table[1, None, "word-1"] == (1, 0)

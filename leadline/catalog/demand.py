@@ -179,7 +179,7 @@ def demand_rule_predictions(spark, folder):
 @query("demand_rule_scores", with_lines(_RULES + " " + metric_sql("long", "model")))
 def demand_rule_scores(spark, folder):
     long = demand.long_rule_predictions(stage(predictions(spark, folder)))
-    return scores(evaluate(long, ["model"]))
+    return scores(evaluate(stage(long), ["model"]))
 
 
 _CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in demand.RULE_LABELS.items())

@@ -65,7 +65,7 @@ def sales_rules(spark, folder):
 
 @query("sales_rule_scores", with_lines(_SALES_RULES + " " + metric_sql("long", "model, split")))
 def sales_rule_scores(spark, folder):
-    return scores(metrics.evaluate(sales_rules(spark, folder), ["model", "split"]))
+    return scores(metrics.evaluate(stage(sales_rules(spark, folder)), ["model", "split"]))
 
 
 _MONTH = (

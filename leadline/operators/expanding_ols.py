@@ -17,10 +17,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from leadline.operators.cross_products import add_products, category_codes
 from leadline.operators.features import Encoding, category_counts
 from leadline.operators.split import month_folds
 
@@ -28,7 +31,7 @@ MAX_SLOTS = 512
 
 
 class _Design:
-    """Intercept, one slot per category, centred numbers: rows of a batch as a matrix."""
+    """Intercept, one slot per category, centred numbers: batches of rows as slots and numbers."""
 
     def __init__(self, vocabularies: dict[str, list[str]], numbers: Sequence[str], centre: np.ndarray, scale: np.ndarray):
         self.vocabularies, self.numbers, self.centre, self.scale = vocabularies, list(numbers), centre, scale
@@ -38,33 +41,45 @@ class _Design:
             at += len(values)
         self.first_number, self.slots = at, at + len(self.numbers)
 
-    def matrix(self, pdf: pd.DataFrame) -> np.ndarray:
-        x = np.zeros((len(pdf), self.slots))
-        x[:, 0] = 1.0
-        rows = np.arange(len(pdf))
-        for (name, values), group in zip(self.vocabularies.items(), self.groups):
-            codes = pd.Categorical(pdf[name], categories=values).codes
-            known = codes >= 0
-            x[rows[known], group.start + codes[known]] = 1.0
-        x[:, self.first_number :] = (pdf[self.numbers].to_numpy(dtype=float) - self.centre) / self.scale
+    def codes(self, batch: pa.RecordBatch, names: Sequence[str]) -> list[np.ndarray]:
+        """The slot of each row's category per column, -1 for one that is not in the vocabulary."""
+        return [
+            category_codes(batch.column(name), pa.array(values, pa.string()), np.arange(group.start, group.stop), -1)
+            for name, values, group in zip(names, self.vocabularies.values(), self.groups)
+        ]
+
+    def numbers_of(self, batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
+        """Centred and scaled numbers, a row each."""
+        x = np.empty((batch.num_rows, len(self.numbers)))
+        for k, name in enumerate(names):
+            x[:, k] = (batch.column(name).to_numpy(zero_copy_only=False) - self.centre[k]) / self.scale[k]
         return x
 
 
 def _cross_products(rows: DataFrame, month: str, design: _Design) -> pd.DataFrame:
-    upper = np.triu_indices(design.slots + 1)
+    """Per month, the products of all slots and the target: _m, cell (row * side + column) and v."""
+    side, names = design.slots + 1, list(design.vocabularies)
+    ranges = [(group.start, group.stop) for group in design.groups]
 
-    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for pdf in batches:
-            for name, part in pdf.groupby("_m"):
-                x = np.column_stack([design.matrix(part), part["_y"].to_numpy(dtype=float)])
-                sums[name] = sums.get(name, 0.0) + (x.T @ x)[upper]
+        for batch in batches:
+            codes, y = design.codes(batch, names), batch.column("_y").to_numpy()
+            numbers = np.column_stack([design.numbers_of(batch, design.numbers), y])
+            months = batch.column("_m").dictionary_encode()
+            at = months.indices.to_numpy()
+            for k, name in enumerate(months.dictionary.to_pylist()):
+                here = np.flatnonzero(at == k) if len(months.dictionary) > 1 else slice(None)
+                own = sums.setdefault(name, np.zeros((side, side)))
+                ones = np.zeros(len(at), np.int64)[here]  # the intercept is a category that all rows have
+                add_products(own, [ones, *[c[here] for c in codes]], [(0, 1), *ranges], numbers[here], design.first_number)
         for name, cells in sums.items():
-            yield pd.DataFrame({"_m": name, "cell": np.arange(len(cells)), "v": cells})
+            full = np.flatnonzero(cells)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(full), pa.string()), pa.array(full.astype(np.int32)), pa.array(cells.reshape(-1)[full])], names=["_m", "cell", "v"]
+            )
 
-    return (
-        rows.mapInPandas(add_up, "_m string, cell int, v double").groupBy("_m", "cell").agg(F.sum("v").alias("v")).toPandas()
-    )
+    return rows.mapInArrow(add_up, "_m string, cell int, v double").groupBy("_m", "cell").agg(F.sum("v").alias("v")).toPandas()
 
 
 def _solve(gram: np.ndarray, design: _Design, min_rows: int) -> np.ndarray:
@@ -119,11 +134,11 @@ def expanding_least_squares(rows: DataFrame, month: str, target: str, spec: Enco
     cells = _cross_products(ready.select(F.col(month).alias("_m"), F.col(target).cast("double").alias("_y"), *text, *numbers), month, design)
 
     side = design.slots + 1
-    upper = np.triu_indices(side)
     by_month = {}
     for m, part in cells.groupby("_m"):
-        gram = np.zeros((side, side))
-        gram[upper[0][part["cell"]], upper[1][part["cell"]]] = part["v"]
+        gram = np.zeros(side * side)
+        gram[part["cell"]] = part["v"]
+        gram = gram.reshape(side, side)
         by_month[m] = gram + gram.T - np.diag(np.diag(gram))
     coefficients, total, months = {}, np.zeros((side, side)), sorted(by_month)
     for fold in month_folds(ready, month, initial):
@@ -142,15 +157,24 @@ def expanding_least_squares(rows: DataFrame, month: str, target: str, spec: Enco
     )
     flat = base.select(*[f.name for f in kept], "_m", "actual", *[F.col(f"_x.{c}").alias(f"_x_{c}") for c in categorical + numeric])
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for m, part in pdf.groupby("_m"):
-                fold, beta = coefficients[m]
-                x = design.matrix(part[[f"_x_{c}" for c in categorical + numeric]].rename(columns=lambda c: c[3:]))
-                out = part[[f.name for f in kept]].copy()
-                out[month], out["fold"], out["actual"], out["model"] = m, fold, part["actual"], name
-                # Categories new to the test month are slots too: they carry the pool's coefficient.
-                out["predicted"] = np.maximum(x @ beta, 0.0)
-                yield out
-
-    return flat.mapInPandas(score, schema)
+    inputs = [f"_x_{c}" for c in categorical + numeric]
+    names = sorted(coefficients)
+    fold_of = np.array([coefficients[m][0] for m in names], np.int32)
+    betas = np.array([coefficients[m][1] for m in names]).reshape(len(names), design.slots)
+    arrow = to_arrow_schema(schema)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = category_codes(batch.column("_m"), pa.array(names, pa.string()), np.arange(len(names)), -1)
+            value = betas[at, 0]
+            # Categories new to the test month are slots too: they carry the pool's coefficient.
+            for code in design.codes(batch, inputs[: len(categorical)]):
+                value = value + np.where(code >= 0, betas[at, code], 0.0)
+            x = design.numbers_of(batch, inputs[len(categorical) :])
+            for k in range(x.shape[1]):
+                value = value + x[:, k] * betas[at, design.first_number + k]
+            columns = [batch.column(f.name) for f in kept]
+            columns += [batch.column("_m"), pa.array(fold_of[at]), batch.column("actual"), pa.array([name] * batch.num_rows, pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.maximum(value, 0.0))], schema=arrow)
+
+    return flat.mapInArrow(score, schema)

@@ -171,7 +171,7 @@ def _band_report(df, band, value):
 
 @query("price_bands", _band_sql("price", labels.PRICE_BANDS, "lines"))
 def price_bands(spark, folder):
-    lines = order_lines(spark, folder, ["price", *LINE_KEY])
+    lines = stage(order_lines(spark, folder, ["price", *LINE_KEY]))
     return _band_report(sales_plan.add_price_band(lines, LINE_KEY), "product_price_bin", "price")
 
 
@@ -201,7 +201,7 @@ def customer_value_bands(spark, folder):
     ),
 )
 def customer_value_bands_per_customer(spark, folder):
-    lines = order_lines(spark, folder, ["customer_id", "sales"])
+    lines = stage(order_lines(spark, folder, ["customer_id", "sales"]))
     return _band_report(sales_plan.add_customer_band_per_customer(lines), "customer_value_band", "customer_total_sales")
 
 

@@ -97,7 +97,7 @@ def _band_sql(name, value, names, source):
 
 @query("sales_by_product_price_bin", with_lines(_band_sql("product_price_bin", "price", sales.labels.PRICE_BANDS, "lines")))
 def sales_by_price_band(spark, folder):
-    lines = order_lines(spark, folder, [*MEASURES, "price", *LINE_KEY])
+    lines = stage(order_lines(spark, folder, [*MEASURES, "price", *LINE_KEY]))
     return rounded(sales.sales_by(sales.add_price_band(lines, LINE_KEY), "product_price_bin"), off_tie=MEANS, **DIGITS)
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,38 +81,82 @@ def add_customer_band(df: DataFrame, key: Sequence[str], total: str = "customer_
 
 
 def add_customer_band_per_customer(df: DataFrame, customer: str = "customer_id", sales: str = "sales") -> DataFrame:
-    """Variant that ranks customers, not lines, so that each customer has one band."""
-    totals = df.filter(F.col(customer).isNotNull()).groupBy(customer).agg(F.round(F.sum(sales), 5).alias("customer_total_sales"))
+    """Variant that ranks customers, not lines, so that each customer has one band.
+
+    ``df`` is read twice; its totals are staged, as the search of the bands reads them several times.
+    """
+    totals = stage(df.filter(F.col(customer).isNotNull()).groupBy(customer).agg(F.round(F.sum(sales), 5).alias("customer_total_sales")))
     banded = rank_bands(totals, ["customer_total_sales", customer], labels.CUSTOMER_BANDS, "customer_value_band")
     return df.join(banded, customer, "left")
 
 
+_MEASURES = ["sales", "orders", "rows", "avg_sale", "avg_quantity", "avg_discount_rate"]
+
+
+def _folded(df: DataFrame, dimensions: dict[str, str], c: SalesColumns) -> DataFrame:
+    """feature, value (as text) and measures per value of many dimensions; ``orders`` counts different orders.
+
+    The lines of an order are brought together and in a row, so a task counts an order once per value by what it has seen
+    of the order it is at. Each line is moved once, whatever the number of dimensions, and no task keeps orders.
+    """
+    names = list(dimensions)
+    measures = [F.col(x).cast("double").alias(n) for x, n in ((c.sales, "_s"), (c.quantity, "_q"), (c.discount_rate, "_d"))]
+    cells = [F.col(column).cast("string").alias(f"_v{k}") for k, column in enumerate(dimensions.values())]
+    lines = df.withColumn("_order", F.col(c.order_id)).repartition("_order").sortWithinPartitions("_order").select("_order", *measures, *cells)
+    sums = ["_s", "_q", "_d", "_sn", "_qn", "_dn", "_n", "_orders"]
+    schema = "feature string, value string, " + ", ".join(f"{x} {'double' if x in ('_s', '_q', '_d') else 'long'}" for x in sums)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = None, [set() for _ in names]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = batch.column("_order").dictionary_encode(null_encoding="encode")
+            order, ids = coded.indices.to_numpy(), coded.dictionary
+            if not (ids[0].is_valid and ids[0].as_py() == last):
+                seen = [set() for _ in names]
+            last, tail = ids[len(ids) - 1].as_py(), int(np.searchsorted(order, len(ids) - 1))
+            known = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))
+            weights = [(x.fill_null(0.0).to_numpy(), x.is_valid().to_numpy(zero_copy_only=False)) for x in map(batch.column, ("_s", "_q", "_d"))]
+            for k, name in enumerate(names):
+                cell = batch.column(f"_v{k}").dictionary_encode(null_encoding="encode")
+                code, values = cell.indices.to_numpy(), cell.dictionary
+                m = len(values)
+                pairs = np.unique(order.astype(np.int64) * m + code)
+                pairs = pairs[np.isin(pairs // m, known)] if len(known) < len(ids) else pairs
+                words = values.to_pylist()
+                if seen[k]:
+                    again = [i for i, w in enumerate(words) if w in seen[k]]
+                    pairs = pairs[~((pairs < m) & np.isin(pairs, again))]
+                at_end = {words[i] for i in np.unique(code[tail:])}
+                seen[k] = seen[k] | at_end if len(ids) == 1 else at_end
+                out = [np.bincount(code, w, m) for w, _ in weights] + [np.bincount(code[ok], minlength=m) for _, ok in weights]
+                out += [np.bincount(code, minlength=m), np.bincount(pairs % m, minlength=m)]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * m, pa.string()), values, *map(pa.array, out)], names=["feature", "value", *sums])
+
+    added = lines.mapInArrow(fold, schema).groupBy("feature", "value").agg(*[F.sum(x).alias(x) for x in sums])
+    mean = lambda x: F.try_divide(F.col(x), F.col(f"{x}n"))
+    return added.select(
+        "feature",
+        "value",
+        F.when(F.col("_sn") > 0, F.col("_s")).alias("sales"),
+        F.col("_orders").alias("orders"),
+        F.col("_n").alias("rows"),
+        mean("_s").alias("avg_sale"),
+        mean("_q").alias("avg_quantity"),
+        mean("_d").alias("avg_discount_rate"),
+    )
+
+
 def sales_by(df: DataFrame, column: str, top_n: int | None = None, value_order: Sequence[str] | None = None,
              c: SalesColumns = SalesColumns()) -> DataFrame:
     """Sales, orders, lines and averages per value of a dimension, with the share of all sales.
 
-    Null is a value of the dimension. Lines of one order are first folded per (value, order),
-    which turns the distinct count into a plain count. Shares refer to all values, also when
-    only the top ones are returned.
+    Null is a value of the dimension. Shares refer to all values, also when only the top ones are returned.
     """
     q, d, s = F.col(c.quantity), F.col(c.discount_rate), F.col(c.sales)
-    per_order = df.groupBy(column, c.order_id).agg(
-        F.sum(s).alias("_s"),
-        F.count(F.lit(1)).alias("_n"),
-        F.count(s).alias("_ns"),
-        F.sum(q).alias("_q"),
-        F.count(q).alias("_nq"),
-        F.sum(d).alias("_d"),
-        F.count(d).alias("_nd"),
-    )
-    grouped = per_order.groupBy(column).agg(
-        F.sum("_s").alias("sales"),
-        F.count(c.order_id).alias("orders"),
-        F.sum("_n").alias("rows"),
-        F.try_divide(F.sum("_s"), F.sum("_ns")).alias("avg_sale"),
-        F.try_divide(F.sum("_q"), F.sum("_nq")).alias("avg_quantity"),
-        F.try_divide(F.sum("_d"), F.sum("_nd")).alias("avg_discount_rate"),
-    )
+    kind = df.schema[column].dataType
+    grouped = _folded(df, {column: column}, c).select(F.col("value").cast(kind).alias(column), *_MEASURES)
     # The total is read from the staged groups, not by a second scan of the lines.
     out = with_share(stage(grouped), "sales", "sales_share")
     if value_order is not None:
@@ -126,29 +172,10 @@ def sales_by(df: DataFrame, column: str, top_n: int | None = None, value_order:
 def sales_report(df: DataFrame, dimensions: dict[str, tuple[str, int | None]], c: SalesColumns = SalesColumns()) -> DataFrame:
     """Many ``sales_by`` reports in one table, told apart by ``feature``, from one pass over the lines.
 
-    ``dimensions`` names each report's column and its top n (None: all values). Each line is written once per
-    dimension with its value and folded per (dimension, value, order) before it is shuffled. Totals, shares and top rows
-    are read from the staged groups.
+    ``dimensions`` names each report's column and its top n (None: all values). Totals, shares and top rows are read
+    from the staged groups.
     """
-    cells = F.array(
-        *[F.struct(F.lit(name).alias("feature"), F.col(column).cast("string").alias("value")) for name, (column, _) in dimensions.items()]
-    )
-    q, d, s = F.col(c.quantity), F.col(c.discount_rate), F.col(c.sales)
-    lines = df.select(F.col(c.order_id).alias("_order"), s.alias("_s"), q.alias("_q"), d.alias("_d"), F.explode(cells).alias("_cell"))
-    per_order = lines.groupBy("_cell", "_order").agg(
-        F.count(F.lit(1)).alias("_n"), *[f(x).alias(f"{x}{k}") for x in ("_s", "_q", "_d") for f, k in ((F.sum, ""), (F.count, "n"))]
-    )
-    mean = lambda x: F.try_divide(F.sum(x), F.sum(f"{x}n"))
-    grouped = stage(
-        per_order.groupBy("_cell").agg(
-            F.sum("_s").alias("sales"),
-            F.count("_order").alias("orders"),
-            F.sum("_n").alias("rows"),
-            mean("_s").alias("avg_sale"),
-            mean("_q").alias("avg_quantity"),
-            mean("_d").alias("avg_discount_rate"),
-        ).select("_cell.*", "sales", "orders", "rows", "avg_sale", "avg_quantity", "avg_discount_rate")
-    )
+    grouped = stage(_folded(df, {name: column for name, (column, _) in dimensions.items()}, c))
     totals = grouped.groupBy("feature").agg(F.sum("sales").alias("_total"))
     shared = grouped.join(totals, "feature").withColumn("sales_share", F.col("sales") / F.col("_total")).drop("_total")
     cut = {name: n for name, (_, n) in dimensions.items() if n is not None}

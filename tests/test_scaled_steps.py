@@ -115,13 +115,15 @@ def test_trees_are_the_same_in_blocks_of_any_size(spark, monkeypatch):
 
 
 def test_tree_models_of_one_encoding_share_their_inputs(spark, monkeypatch):
-    staged, real = [], models.stage
-    monkeypatch.setattr(models, "stage", lambda df: staged.append(df.columns) or real(df))
+    made = []
+    for kind in (features.FittedEncoding, features._FittedOrdinal):
+        own = kind.transform
+        monkeypatch.setattr(kind, "transform", lambda self, df, own=own: made.append(df.columns) or own(self, df))
     df = spark.range(300).selectExpr("id", "cast(id % 3 as string) as c", "cast(id as double) as x", "cast(id % 3 as double) as y", "if(id < 200, 'train', 'test') as split")
     codes = models.ordinal(["c"], ["x"])
     specs = [models.ModelSpec(n, "forest", codes, {"trees": 2, "max_depth": 3}) for n in ("one", "two")]
     pred, _ = models.fit_and_score(df, "y", specs, ["id"])
-    assert len(staged) == 1 and pred.columns == ["id", "split", "actual", "model", "predicted"] and pred.count() == 600
+    assert len(made) == 1 and pred.columns == ["id", "split", "actual", "model", "predicted"] and pred.count() == 600
 
 
 @pytest.mark.skipif(not pathlib.Path(FOLDER).exists(), reason="no test tables")

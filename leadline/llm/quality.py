@@ -11,9 +11,10 @@ prior and a large one speaks for itself. A document's own evidence is left out o
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from leadline.llm.columns import SPACE
 from leadline.llm.quality_rules import base_counts
 from leadline.llm.toxicity import held_out
-from leadline.session import stage
+from leadline.session import stage, staging_dir
 
 MAX_LABELLED = 20_000
 THRESHOLD = 0.5
@@ -97,7 +98,10 @@ def fit(featured: DataFrame, labels: DataFrame, label_col: str = "quality", max_
     scale = StandardScaler(inputCol="raw_vector", outputCol="vector", withMean=True).fit(gather.transform(rows))
     taught = scale.transform(gather.transform(rows))
     line = LogisticRegression(featuresCol="vector", labelCol="label", regParam=1e-3, maxIter=60).fit(taught)
-    return Model(rate, (gather, scale, line))
+    # A model just fitted holds its training summary and so the session, which tasks cannot be sent once it observed rows.
+    path = f"{staging_dir(featured.sparkSession)}/model-{uuid.uuid4().hex}"
+    line.save(path)
+    return Model(rate, (gather, scale, LogisticRegressionModel.load(path)))
 
 
 def _logit(p: Column) -> Column:

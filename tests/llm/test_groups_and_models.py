@@ -298,3 +298,13 @@ def test_scan_replaces_result_columns_in_either_case(spark):
     items = spark.createDataFrame([(7, "b c")], "item_id long, text string")
     got = decontamination.scan(docs, items).first().asDict(recursive=True)
     assert got == {"doc_id": 1, "text": "a b c", "n_words": 3, "spans": [{"from": 1, "to": 3}], "items": ["7"]}
+
+
+def test_quality_after_rows_were_observed(spark):
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    assert spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).count() == 3 and seen.get["n"] == 3
+    rows = [(k, " ".join(f"w{(k * j) % 97}" + "#" * (k % 2) for j in range(1, 30)), "en", "s", 0, None) for k in range(60)]
+    known = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    assert len(quality.judge(spark.createDataFrame(rows, SCHEMA), known).collect()) == 60

@@ -13,7 +13,7 @@ table takes several passes, so what is broadcast at once is bounded, however lar
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice, repeat
 
 import numpy as np
@@ -186,6 +186,67 @@ def _joined(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _SPAN = T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())])
 
 
+# Of one text: number of words, hit runs apart from each other, ids of the items met.
+Found = tuple[int, list[tuple[int, int]], set[str]]
+
+
+def _as_spans(hits: list[tuple[int, int]]) -> list[dict]:
+    return [{"from": a, "to": b} for a, b in hits]
+
+
+def _through_items(
+    docs: DataFrame,
+    items: DataFrame,
+    text_col: str,
+    keep: list[str],
+    fields: list[T.StructField],
+    result: Callable[[list[bytes | None], list[Found]], dict[str, list | pa.Array]],
+    item_id: str = "item_id",
+    item_text: str = "text",
+    window: int = WINDOW,
+    block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """``keep`` columns of every row and the columns of ``fields`` that ``result`` makes of the texts and what they hit.
+
+    The last pass over the documents makes the result, in the Python worker that has the text already.
+    """
+    context = docs.sparkSession.sparkContext
+    text, old_spans, old_items = (free_name(docs, c) for c in ("text_again", "spans_before", "items_before"))
+    so_far = [T.StructField(old_spans, T.ArrayType(_SPAN)), T.StructField(old_items, T.ArrayType(T.StringType()))]
+
+    def scanner(sent: list, result: Callable) -> Callable:
+        def work(texts, part):
+            texts = texts.to_pylist()
+            earlier = [part.column(c).to_pylist() if c in part.schema.names else repeat([]) for c in (old_spans, old_items)]
+            found = []
+            for value, old_runs, old_ids in zip(texts, *earlier):
+                words = words_of(value)
+                hits, ids = [(s["from"], s["to"]) for s in old_runs], set(old_ids)
+                for block in sent:
+                    more, items_met = block.value.scan(words)
+                    hits += more
+                    ids.update(map(str, items_met))
+                found.append((len(words), _joined(hits), ids))
+            return result(texts, found)
+
+        return work
+
+    def noted(texts, found):
+        return {old_spans: [_as_spans(hits) for _, hits, _ in found], old_items: [sorted(ids) for _, _, ids in found]}
+
+    source, columns = docs.withColumn(text, F.col(text_col)), keep
+    blocks = item_blocks(items, item_id, item_text, block_words)
+    group = list(islice(blocks, BLOCKS_AT_ONCE))
+    while later := list(islice(blocks, BLOCKS_AT_ONCE)):  # a large item table: what was met is written with the columns
+        sent = [context.broadcast(Automaton(block, window)) for block in group]
+        source = stage(map_texts(source, text, so_far, scanner(sent, noted), [*columns, text]))
+        columns, group = [*keep, old_spans, old_items], later
+    sent = [context.broadcast(Automaton(block, window)) for block in group]
+    made = map_texts(source, text, fields, scanner(sent, result), columns)
+    names = [f.name for f in fields]
+    return made.select(*[F.col(f"`{c}`") for c in [*without(keep, names), *names]])
+
+
 def scan(
     docs: DataFrame,
     items: DataFrame,
@@ -205,61 +266,37 @@ def scan(
     empty text has no words. Null ids, repeated rows and empty tables are passed on as they are;
     equal items with different ids are all reported. Columns named like a result are replaced.
     """
-    context = docs.sparkSession.sparkContext
     n_words, spans, met = names
-    before = [free_name(docs, c) for c in ("spans_before", "items_before")]
     fields = [
         T.StructField(n_words, T.LongType()),
         T.StructField(spans, T.ArrayType(_SPAN)),
         T.StructField(met, T.ArrayType(T.StringType())),
     ]
 
-    def scanner(sent: list):
-        def work(texts, part):
-            counts, runs, found = [], [], []
-            earlier = [part.column(c).to_pylist() if c in part.schema.names else repeat([]) for c in before]
-            for text, old_runs, old_items in zip(texts.to_pylist(), *earlier):
-                words = words_of(text)
-                hits, ids = [(s["from"], s["to"]) for s in old_runs], set(old_items)
-                for block in sent:
-                    more, items_met = block.value.scan(words)
-                    hits += more
-                    ids.update(map(str, items_met))
-                counts.append(len(words))
-                runs.append([{"from": a, "to": b} for a, b in _joined(hits)])
-                found.append(sorted(ids))
-            return {n_words: counts, spans: runs, met: found}
-
-        return work
+    def result(texts, found):
+        return {
+            n_words: [n for n, _, _ in found],
+            spans: [_as_spans(hits) for _, hits, _ in found],
+            met: [sorted(ids) for _, _, ids in found],
+        }
 
     wanted = without(docs.columns if keep is None else keep, names)
-    blocks = item_blocks(items, item_id, item_text, block_words)
-    out = None
-    while group := list(islice(blocks, BLOCKS_AT_ONCE)):
-        sent = [context.broadcast(Automaton(block, window)) for block in group]
-        if out is None:
-            source = docs.withColumn(text_again := free_name(docs, "text_again"), F.col(text_col))
-            columns = wanted
-        else:  # a large item table: the earlier result is written, and its columns are extended
-            source = stage(out).withColumnsRenamed(dict(zip((spans, met), before)))
-            columns = [*wanted, *before]
-        out = map_texts(source, text_again, fields, scanner(sent), [*columns, text_again])
-    return out.select(*[F.col(f"`{c}`") for c in wanted], *names)
+    return _through_items(docs, items, text_col, wanted, fields, result, item_id, item_text, window, block_words)
 
 
 def hit_words(spans: str = "spans") -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
 
 
-def _without(text: bytes, spans: list[dict], window: int, max_span: int, least_item: int) -> bytes:
+def _without(text: bytes, hits: list[tuple[int, int]], window: int, max_span: int, least_item: int) -> bytes:
     """The text without the words of long spans, or of whole short items, and what stands between them."""
     places = [m.span() for m in _WORD.finditer(text)]
     out, at = [], 0
-    for s in spans:
-        n = s["to"] - s["from"]
+    for first, end in hits:
+        n = end - first
         if n >= max_span or least_item <= n < window:  # a span below the window holds whole items only
-            out.append(text[at : places[s["from"]][0]])
-            at = places[s["to"] - 1][1]
+            out.append(text[at : places[first][0]])
+            at = places[end - 1][1]
     return b"".join([*out, text[at:]])
 
 
@@ -271,6 +308,7 @@ def clean(
     max_span: int = MAX_SPAN,
     max_coverage: float = MAX_COVERAGE,
     least_item: int = LEAST_ITEM,
+    block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """``docs`` without benchmark passages: rows with too much of them go, others lose them.
 
@@ -279,14 +317,17 @@ def clean(
     word, and so is a shorter one of whole items of fewer than ``window`` words, if it has at least
     ``least_item`` words. Still shorter spans stay. Rows without a hit keep their text unchanged, null texts included.
     """
-    n_words, spans, met = (free_name(docs, c) for c in ("hit_n_words", "hit_spans", "hit_items"))
-    scanned = scan(docs, items, text_col, window=window, names=(n_words, spans, met))
-    kept = scanned.where(hit_words(spans) <= F.lit(max_coverage) * F.col(n_words))
-
-    def work(texts, part):
-        found = part.column(spans).to_pylist()
-        cut = [_without(t, s, window, max_span, least_item) if s else t for t, s in zip(texts.to_pylist(), found)]
-        return {text_col: pa.array(cut, pa.binary()).cast(pa.string())}
-
-    cleaned = map_texts(kept, text_col, [T.StructField(text_col, T.StringType())], work)
-    return cleaned.select(*[F.col(f"`{c}`") for c in docs.columns])
+    goes = free_name(docs, "goes")
+    fields = [T.StructField(text_col, T.StringType()), T.StructField(goes, T.BooleanType())]
+
+    def result(texts, found):
+        gone = [sum(b - a for a, b in hits) > max_coverage * n for n, hits, _ in found]
+        cut = [
+            None if out else _without(t, hits, window, max_span, least_item) if hits else t
+            for t, (_, hits, _), out in zip(texts, found, gone)
+        ]
+        return {text_col: pa.array(cut, pa.binary()).cast(pa.string()), goes: gone}
+
+    keep = without(docs.columns, [text_col])
+    cleaned = _through_items(docs, items, text_col, keep, fields, result, window=window, block_words=block_words)
+    return cleaned.where(~F.col(goes)).select(*[F.col(f"`{c}`") for c in docs.columns])

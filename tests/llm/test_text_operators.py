@@ -136,6 +136,13 @@ def test_decontamination_clean_cuts_whole_short_items(spark):
     assert got == {0: f"{around}. ? {around}", 1: texts[1], 2: texts[2]}
 
 
+def test_decontamination_clean_goes_through_python_once(docs, items):
+    got = decontamination.clean(docs, items)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    blocks = decontamination.clean(docs, items, block_words=5)  # several passes, the last one cuts
+    assert Counter(map(tuple, blocks.collect())) == Counter(map(tuple, got.collect()))
+
+
 def brute_lines(rows):
     def key(line):
         return re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r"))
@@ -244,6 +251,26 @@ def test_encoder_equals_the_library(name):
         assert [x.tolist() for x in got] == want
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_cuts_words_from_marks_as_the_library_does(name):
+    path = public_tokenizers.path(name)
+    odd = ["Stone, stone. STONE;stone's (stone) don't 'tis l'eau, x's,y a,b,c", "\u0130, I\u0307, H\u0331, h\u0331; J\u030c. é́, e\u0301,"]
+    odd += ["end,\u0338 <\u0338= b<\u0338", "x<|EndOfText|>, y<|endoftext|>, z<|startoftext|>.", "Été. ǰ, ÿ! ×, ÷a ªb; ʃ, Σ, ΑΣ.", "a\x00, </w>a, a</w>"]
+    coder, library = token_ids.Encoder(path), Tokenizer.from_file(path)
+    for _ in range(2):
+        ids, counts = coder.encode(pa.array(odd))
+        got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in odd]
+
+
+def test_encoder_gives_the_library_a_word_once(monkeypatch):
+    given, encode = [], token_ids._encode_strings
+    monkeypatch.setattr(token_ids, "_encode_strings", lambda tokenizer, strings: given.extend(strings) or encode(tokenizer, strings))
+    coder = token_ids.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    coder.encode(pa.array(["Stone stone, stone. STONE; stones", "stones, stone"]))
+    assert sorted(given) == [",", ".", ";", "stone stones"]
+
+
 def test_re_pair_round_trip_and_random_access():
     rng = np.random.default_rng(5)
     for vocabulary, n in ((3, 4000), (2000, 20_000), (1, 500)):

@@ -109,6 +109,8 @@ class Seen(Exception):
     "query, sizes",
     [
         ("arrival_forest_grid", [(120, 18), (180, 26), (180, 16), (220, 30)]),
+        ("arrival_history_forest_scores", [(120, 18)]),
+        ("arrival_history_importance", [(120, 18)]),
     ],
 )
 def test_queries_fit_their_whole_specs(monkeypatch, query, sizes):

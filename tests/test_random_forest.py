@@ -111,6 +111,7 @@ class Seen(Exception):
         ("arrival_forest_grid", [(120, 18), (180, 26), (180, 16), (220, 30)]),
         ("arrival_history_forest_scores", [(120, 18)]),
         ("arrival_history_importance", [(120, 18)]),
+        ("arrival_tree_scores", [(120, 18), (160, 20), (180, None), (140, 4)]),
     ],
 )
 def test_queries_fit_their_whole_specs(monkeypatch, query, sizes):

@@ -112,6 +112,7 @@ class Seen(Exception):
         ("arrival_history_forest_scores", [(120, 18)]),
         ("arrival_history_importance", [(120, 18)]),
         ("arrival_tree_scores", [(120, 18), (160, 20), (180, None), (140, 4)]),
+        ("sales_model_scores", [(None, None), (None, None), (1, 16), (120, 18), (260, None)]),
     ],
 )
 def test_queries_fit_their_whole_specs(monkeypatch, query, sizes):

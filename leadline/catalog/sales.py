@@ -164,11 +164,17 @@ def _stacked_sql():
 
 @query("sales_report_stacked", _stacked_sql())
 def sales_report_stacked(spark, folder):
-    """All 27 sales reports; the lines are joined and staged once and expanded in one pass."""
+    """All 27 sales reports; the lines are joined and staged once and expanded in one pass.
+
+    Customers' totals join the orders, and calendar labels and bins are worked out where they are counted, so what is
+    staged and moved is a line's own columns.
+    """
     roles = [*MEASURES, *PLAIN, "order_ts", "discount", "profit_ratio", "price", "customer_id", *LINE_KEY]
-    lines = stage(sales.add_customer_total(stage(sales.add_sales_calendar(order_lines(spark, folder, roles)))))
+    known = ["order_ts", "sales"]
+    totals = stage(sales.customer_totals(order_lines(spark, folder, [*known, "customer_id"]).na.drop(subset=known)))
+    lines = stage(order_lines(spark, folder, roles, totals).na.drop(subset=known))
     banded = sales.add_customer_band(sales.add_price_band(lines, LINE_KEY), LINE_KEY)
-    report = sales.sales_report(banded, {name: (column, n) for name, (column, _, n) in STACKED.items()})
+    report = sales.sales_report(banded, {name: (column, n) for name, (column, _, n) in STACKED.items()}, derive=sales.add_sales_calendar)
     return rounded(report, off_tie=MEANS, **DIGITS)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,15 +64,18 @@ def add_price_band(df: DataFrame, key: Sequence[str], price: str = "price") -> D
     return rank_bands(df, [price, *key], labels.PRICE_BANDS, "product_price_bin")
 
 
+def customer_totals(df: DataFrame, customer: str = "customer_id", sales: str = "sales", name: str = "customer_total_sales") -> DataFrame:
+    """A row per customer. Sums are rounded to a hundred-thousandth so that a rerun ranks customers alike."""
+    return df.groupBy(customer).agg(F.round(F.sum(sales), 5).alias(name))
+
+
 def add_customer_total(df: DataFrame, customer: str = "customer_id", sales: str = "sales", name: str = "customer_total_sales") -> DataFrame:
     """The customer's total sales on each line.
 
     Aggregate and join back instead of a window: partial sums keep a huge customer out of
     a single task. The total covers the whole table, so it is for reports, not for models.
     """
-    # Sums are rounded to a hundred-thousandth so that a rerun ranks customers alike.
-    totals = df.groupBy(customer).agg(F.round(F.sum(sales), 5).alias(name))
-    return df.join(totals, customer, "left")
+    return df.join(customer_totals(df, customer, sales, name), customer, "left")
 
 
 def add_customer_band(df: DataFrame, key: Sequence[str], total: str = "customer_total_sales") -> DataFrame:
@@ -93,16 +96,18 @@ def add_customer_band_per_customer(df: DataFrame, customer: str = "customer_id",
 _MEASURES = ["sales", "orders", "rows", "avg_sale", "avg_quantity", "avg_discount_rate"]
 
 
-def _folded(df: DataFrame, dimensions: dict[str, str], c: SalesColumns) -> DataFrame:
+def _folded(df: DataFrame, dimensions: dict[str, str], c: SalesColumns, derive: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """feature, value (as text) and measures per value of many dimensions; ``orders`` counts different orders.
 
     The lines of an order are brought together and in a row, so a task counts an order once per value by what it has seen
     of the order it is at. Each line is moved once, whatever the number of dimensions, and no task keeps orders.
+    ``derive`` adds dimensions after the move, so that they are not moved.
     """
     names = list(dimensions)
     measures = [F.col(x).cast("double").alias(n) for x, n in ((c.sales, "_s"), (c.quantity, "_q"), (c.discount_rate, "_d"))]
     cells = [F.col(column).cast("string").alias(f"_v{k}") for k, column in enumerate(dimensions.values())]
-    lines = df.withColumn("_order", F.col(c.order_id)).repartition("_order").sortWithinPartitions("_order").select("_order", *measures, *cells)
+    moved = df.withColumn("_order", F.col(c.order_id)).repartition("_order").sortWithinPartitions("_order")
+    lines = (moved if derive is None else derive(moved)).select("_order", *measures, *cells)
     sums = ["_s", "_q", "_d", "_sn", "_qn", "_dn", "_n", "_orders"]
     schema = "feature string, value string, " + ", ".join(f"{x} {'double' if x in ('_s', '_q', '_d') else 'long'}" for x in sums)
 
@@ -169,13 +174,14 @@ def sales_by(df: DataFrame, column: str, top_n: int | None = None, value_order:
     return out.select(F.lit(column).alias("feature"), labels.short_label(F.col(column)).alias("value"), *rest)
 
 
-def sales_report(df: DataFrame, dimensions: dict[str, tuple[str, int | None]], c: SalesColumns = SalesColumns()) -> DataFrame:
+def sales_report(df: DataFrame, dimensions: dict[str, tuple[str, int | None]], c: SalesColumns = SalesColumns(),
+                 derive: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Many ``sales_by`` reports in one table, told apart by ``feature``, from one pass over the lines.
 
     ``dimensions`` names each report's column and its top n (None: all values). Totals, shares and top rows are read
-    from the staged groups.
+    from the staged groups. ``derive`` adds columns of dimensions that follow from a line alone; they are not moved.
     """
-    grouped = stage(_folded(df, {name: column for name, (column, _) in dimensions.items()}, c))
+    grouped = stage(_folded(df, {name: column for name, (column, _) in dimensions.items()}, c, derive))
     totals = grouped.groupBy("feature").agg(F.sum("sales").alias("_total"))
     shared = grouped.join(totals, "feature").withColumn("sales_share", F.col("sales") / F.col("_total")).drop("_total")
     cut = {name: n for name, (_, n) in dimensions.items() if n is not None}

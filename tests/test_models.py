@@ -112,3 +112,16 @@ def test_accumulated_least_squares_equals_refitting_each_fold(spark):
     seen = both[(both.p != "e") | (both.month == "2021-03")]
     assert len(both) == 120 and len(seen) > 80
     assert np.allclose(seen.predicted_a, seen.predicted_b, atol=1e-6)
+
+
+def test_encodings_that_differ_in_scale_are_learnt_once(spark, monkeypatch):
+    learnt, fit = [], models.fit_encoding
+    monkeypatch.setattr(models, "fit_encoding", lambda train, spec: learnt.append(spec) or fit(train, spec))
+    rows = train_rows(spark).withColumn("split", F.when(F.col("x") < 7, "train").otherwise("test"))
+    scaled, codes = models.ordinal(["c"], ["x"], scale="center"), models.ordinal(["c"], ["x"])
+    specs = [models.ModelSpec("lin", "linear", scaled), models.ModelSpec("tree", "tree", codes, {"max_depth": 3, "min_leaf": 2})]
+    pred, fitted = models.fit_and_score(rows, "y", specs, ["x"])
+    assert len(learnt) == 1 and fitted["lin"].encoding.spec.scale == "center" and fitted["tree"].encoding.spec.scale is None
+    got = {(r["model"], r["split"]): r["n"] for r in pred.groupBy("model", "split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    want = {r["split"]: r["n"] for r in rows.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {(m, s): n for m in ("lin", "tree") for s, n in want.items()}

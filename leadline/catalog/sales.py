@@ -171,7 +171,8 @@ def sales_report_stacked(spark, folder):
     """
     roles = [*MEASURES, *PLAIN, "order_ts", "discount", "profit_ratio", "price", "customer_id", *LINE_KEY]
     known = ["order_ts", "sales"]
-    totals = stage(sales.customer_totals(order_lines(spark, folder, [*known, "customer_id"]).na.drop(subset=known)))
+    # The totals are of the same lines, also where a lookup table has a key twice.
+    totals = stage(sales.customer_totals(order_lines(spark, folder, roles).na.drop(subset=known)))
     lines = stage(order_lines(spark, folder, roles, totals).na.drop(subset=known))
     banded = sales.add_customer_band(sales.add_price_band(lines, LINE_KEY), LINE_KEY)
     report = sales.sales_report(banded, {name: (column, n) for name, (column, _, n) in STACKED.items()}, derive=sales.add_sales_calendar)
